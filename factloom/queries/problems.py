@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.paths import plain_path
+from factloom.operators.change_capture import ChangeCapture, LogColumns
+from factloom.operators.hierarchy import distinct_links, hierarchies
 from factloom.operators.nested import NestedTables, newest_payload
 from factloom.operators.snapshot_diff import diff_snapshots
+from factloom.scratch import Scratch
 from factloom.session import table
 
 
@@ -16,10 +19,31 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.links().select(F.col("record_id").alias("oracle_id"), F.col("unit").alias("file"), "entity", "path", "parent_path", "name")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capture = ChangeCapture(spark, Scratch(spark, "capture").path("log"))
+    capture.plan_runs(table(spark, sf_dir, "scan_runs"), ok=F.col("status") == "ok")
+    columns = LogColumns(key=plain_path(F.col("path")), version=F.nullif(F.lower("hash"), F.lit("")))
+    capture.execute(table(spark, sf_dir, "file_entries"), columns)
+    return capture.sink().select("run_id", F.col("key").alias("path"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = {"rule": F.col("rule"), "file": plain_path(F.col("file")), "line": F.coalesce(F.col("line"), F.lit(0))}
     return diff_snapshots(table(spark, sf_dir, "finding_snapshots"), key, [F.coalesce(F.col("message"), F.lit(""))])
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found}
+def spans(batches: DataFrame) -> DataFrame:
+    """Delivered spans (tree, node, parent, received_at); an absent parent is null."""
+    scope = batches.select("received_at", F.explode("resource_spans").alias("r")).select("received_at", F.explode("r.scope_spans").alias("s"))
+    span = scope.select("received_at", F.explode("s.spans").alias("x"))
+    parent = F.lower("x.parent_span_id")
+    return span.select(F.lower("x.trace_id").alias("tree"), F.lower("x.span_id").alias("node"), F.when(~parent.rlike("^0*$"), parent).alias("parent"), "received_at")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = hierarchies(distinct_links(spans(table(spark, sf_dir, "otel_sample")), "received_at"))
+    return tree.select(F.col("tree").alias("trace_id"), F.col("node").alias("span_id"), F.col("root").alias("root_span_id"), "depth", "n_descendants", "path")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
 SQL: dict[str, str] = {}
