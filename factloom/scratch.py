@@ -54,7 +54,7 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-        writer = df.write.mode("overwrite").option("compression", "lz4")
+        writer = df.write.mode("overwrite").option("compression", "snappy")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(self.path(name))
