@@ -78,7 +78,7 @@ def prefix_locality(package: Column, caller_package: Column) -> Column:
 
 def finding_signature(line: Column) -> Column:
     """A source line up to ``{``, then up to ``=``, trimmed."""
-    return F.trim(F.split_part(F.split_part(F.trim(line), F.lit("{"), F.lit(1)), F.lit("="), F.lit(1)))
+    return F.regexp_replace(F.split_part(F.split_part(line, F.lit("{"), F.lit(1)), F.lit("="), F.lit(1)), r"^[ \t]+|[ \t]+$", "")
 
 
 def expected_package(path: Column) -> Column:
