@@ -55,3 +55,20 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_terms": p2_terms, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 SQL: dict[str, str] = {}
+
+_PLAIN = "regexp_replace(replace(file, chr(92), '/'), '^[.]/', '')"
+_TERMS = f"""
+    WITH d AS (SELECT oracle_id, max_by(payload, received_at) AS p FROM oracle WHERE json_valid(payload) AND json_type(payload) = 'OBJECT' GROUP BY oracle_id),
+    fs AS (SELECT oracle_id, json_extract(p, '$.files') AS o FROM d WHERE json_type(p, '$.files') = 'OBJECT'),
+    f AS (SELECT oracle_id, key AS file, value AS v FROM fs, json_each(fs.o) WHERE json_type(value) = 'OBJECT'),
+    l AS (SELECT oracle_id, file, CASE json_type(v, '$.diagnostics') WHEN 'OBJECT' THEN json_array(json_extract(v, '$.diagnostics')) WHEN 'ARRAY' THEN json_extract(v, '$.diagnostics') END AS l FROM f),
+    g AS (SELECT DISTINCT * FROM findings WHERE file IS NOT NULL AND file <> ''),
+    o AS (SELECT 'rule' AS field, rule AS term, {_PLAIN} AS record FROM g UNION ALL SELECT 'ruleSet', rule_set, {_PLAIN} FROM g
+      UNION ALL SELECT 'factoryName', value->>'$.factoryName', oracle_id || chr(0) || file FROM l, json_each(l.l) WHERE l IS NOT NULL),
+    c AS (SELECT field, lower(regexp_replace(term, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')) AS term, record FROM o),
+    k AS (SELECT * FROM c WHERE term <> ''),
+    n AS (SELECT field, term, count(*) AS total, count(DISTINCT record) AS records FROM k GROUP BY ALL),
+    b AS (SELECT field, count(DISTINCT record) AS base FROM k GROUP BY field),
+    m AS (SELECT field, term, total, records, CASE WHEN records < 5 THEN 'rare' WHEN records > 0.3 * base THEN 'common' END AS mark FROM n JOIN b USING (field))"""
+SQL["p2_terms"] = f"{_TERMS} SELECT field, term, total, records, mark FROM m"
+SQL["p2_found"] = f"{_TERMS} SELECT field, term, mark FROM m WHERE mark IS NOT NULL"
