@@ -154,7 +154,7 @@ def hierarchies(links: DataFrame, label: str = "hierarchy") -> DataFrame:
     An empty input gives no rows.
     """
     scratch = Scratch(links.sparkSession, label)
-    nodes = _number(links, scratch)
+    nodes = _number(links.select("tree", "node", "parent"), scratch)
     ranked = scratch.save(_rank(_successors(nodes), scratch), "ranked")
     sides = ranked.groupBy(F.shiftright("e", 1).alias("id")).agg(
         F.max(F.when(F.col("e") % 2 == 0, F.col("rest"))).alias("enter"),
