@@ -143,10 +143,6 @@ class Encoder:
 
     def _learn(self, words: Iterable[str]) -> None:
         """Encode distinct words by one traversal of their trie."""
-        if len(self.words) > CACHED:
-            self.words.clear()
-        if len(self.stands) > 4 * CACHED:
-            self.stands.clear()
         length, known = self.length, self.words
         path, last = b"", [0]
         for data, word in sorted((w.encode(), w) for w in words):
@@ -168,8 +164,9 @@ class Encoder:
 
     def encode_batch(self, texts: Iterable[str | None]) -> list[list[tuple[int, ...]]]:
         """For each text the encodings of its pieces; null and empty have none."""
-        if len(self.pieces) > CACHED:
-            self.pieces.clear()
+        for cache, most in ((self.pieces, CACHED), (self.words, CACHED), (self.stands, 4 * CACHED)):
+            if len(cache) > most:
+                cache.clear()
         cut = [self.cut(t) if t else [] for t in texts]
         fresh = set().union(*cut) - self.pieces.keys() if cut else set()
         self._learn({w for piece in fresh for w in self.split(piece)} - self.words.keys())

@@ -67,7 +67,7 @@ def _stuffed(words: list[str]) -> bool:
         return False
     count = Counter(words)
     pairs = Counter(zip(words, words[1:]))
-    long = max((c for w, c in count.items() if len(w) > 4 or not w.isascii()), default=0)
+    long = max((c for w, c in count.items() if len(w) > 3 or not w.isascii()), default=0)
     again = sum(c for c in pairs.values() if c > 1)
     return long >= 3 and (long >= 0.17 * n or again >= 0.34 * n)
 
@@ -107,6 +107,8 @@ def line_shape(line: str) -> tuple[str, tuple, list[str]]:
         links += more
     elif "." in rest and len(rest) < 200:
         rest, links = _HOST.subn(" ", rest)
+    if not links and not _WORD.search(rest):
+        return "data", ("data",), []
     if links:
         outside = _wordlike(" ".join(_WORD.findall(rest)))
         if outside <= 5 * links:
