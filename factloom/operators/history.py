@@ -141,16 +141,17 @@ def lower_percentile(rows: DataFrame, by: list[str], value: str, p: float) -> Da
 def majority(rows: DataFrame, value: str) -> DataFrame:
     """The most frequent value, ties to the least; nothing if fewer than two distinct values or rows."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    many = counts.agg(F.count("*").alias("_d"), F.sum("n").alias("_t"))
-    top = counts.orderBy(F.desc("n"), value).limit(1)
-    # Both sides have a single row.
-    return top.join(F.broadcast(many), (F.col("_d") >= 2) & (F.col("_t") >= 2)).select(value, "n")
+    # The distinct values of a setting are few: the window runs over those counts.
+    all_ = Window.partitionBy(F.lit(0))
+    many = counts.withColumns({"_d": F.count("*").over(all_), "_t": F.sum("n").over(all_)})
+    return many.where("_d >= 2 AND _t >= 2").orderBy(F.desc("n"), value).limit(1).select(value, "n")
 
 
 def below_maximum(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, top) of the rows below the greatest value."""
-    top = rows.agg(F.max(value).alias("top"))
-    return rows.join(F.broadcast(top), F.col(value) < F.col("top")).select(key, value, "top")
+    # One row, joined by a constant.
+    top = F.broadcast(rows.agg(F.max(value).alias("top")).withColumn("_one", F.lit(1)))
+    return rows.withColumn("_one", F.lit(1)).join(top, "_one").where(F.col(value) < F.col("top")).select(key, value, "top")
 
 
 def all_but_first(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -176,13 +177,14 @@ def lru_evict(entries: DataFrame, cap: int, low: float = 0.8) -> DataFrame:
     The running sum is over buckets of time first, so no single task sorts
     every entry.
     """
-    whole = entries.agg(F.sum("bytes").alias("_all"))
+    # One row, joined by a constant.
+    whole = F.broadcast(entries.agg(F.sum("bytes").alias("_all")).withColumn("_one", F.lit(1)))
     hour = F.date_trunc("hour", "used_at")
     buckets = entries.groupBy(hour.alias("_h")).agg(F.sum("bytes").alias("_s"))
     newer = F.coalesce(F.sum("_s").over(Window.orderBy(F.desc("_h")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = entries.withColumn("_h", hour).join(buckets.withColumn("_newer", newer).drop("_s"), "_h")
     within = F.sum("bytes").over(Window.partitionBy("_h").orderBy(F.desc("used_at"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0))
-    kept = placed.withColumn("_sum", F.col("_newer") + within).join(F.broadcast(whole), F.lit(True))
+    kept = placed.withColumn("_sum", F.col("_newer") + within).withColumn("_one", F.lit(1)).join(whole, "_one")
     return kept.where((F.col("_all") > cap) & (F.col("_sum") > cap * low)).select("key", "bytes", "used_at")
 
 

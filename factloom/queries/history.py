@@ -63,7 +63,7 @@ def jo30(snaps):
         {{'c': 'increase_pct', 'value': CASE WHEN v_from <> 0 THEN delta / abs(v_from)::DOUBLE * 100 WHEN delta > 0 THEN 'inf'::DOUBLE ELSE 0 END, 'bound': 50.0::DOUBLE}}], recursive := true)
       FROM ({_DIFF})) WHERE value > bound""")
 def gr21(snaps):
-    bounds = snaps.sparkSession.range(1).crossJoin(snaps.select("rule").distinct()).select(F.lit("*").alias("module"), F.col("rule").alias("metric"), F.lit(20.0).alias("max_absolute"), F.lit(2.0).alias("max_increase"), F.lit(50.0).alias("max_increase_pct"))
+    bounds = snaps.select("rule").distinct().select(F.lit("*").alias("module"), F.col("rule").alias("metric"), F.lit(20.0).alias("max_absolute"), F.lit(2.0).alias("max_increase"), F.lit(50.0).alias("max_increase_pct"))
     return H.gate(_diff(snaps), bounds)
 
 

@@ -169,9 +169,9 @@ def ag5(symbols, refs):
     return R.symbol_fan_in(symbols, refs)
 
 
-@query("ag6_hotspots", "symbols refs", f"SELECT * FROM ({_FAN_IN}) WHERE fan_in > 70 ORDER BY fan_in DESC, name")
+@query("ag6_hotspots", "symbols refs", f"SELECT * FROM ({_FAN_IN}) WHERE fan_in > 12 ORDER BY fan_in DESC, name")
 def ag6(symbols, refs):
-    return R.hotspots(symbols, refs, 70)
+    return R.hotspots(symbols, refs, 12)
 
 
 _DECL_FAN_IN = "SELECT name, fqn, kind, file, line, start_byte, (SELECT count(DISTINCT r.file) FROM refs r WHERE r.name = s.name AND r.file <> s.file) AS fan_in FROM symbols s"
