@@ -35,10 +35,12 @@ _LEAD = re.compile(r"^(?:\s|[*\-+>»•·/–—]|#+\s|\(?\d{1,4}[.)]\s)+")
 # HTML elements that carry text; other element names are data.
 _HTML = re.compile(r"</?(?:title|h[1-6]|p|div|span|li|ul|ol|b|i|u|em|strong|font|center|small|td|tr|th|table|br|hr|a|nav|footer|header|body|head|html|noscript|marquee|label|img|meta)\b[^>]*>", re.I)
 _META = re.compile(r"<meta\b[^>]*?content\s*=\s*[\"']([^\"'>]*)[\"']?[^>]*>", re.I)
-_CODE = re.compile(r"[{}=<>\\`]|;\s*$|\w\(|\)\.|::|->|\"\s*:|:\d+:|^\s*at\s\w+\.|^\s*(?:import|package)\s|^\s*@\w+|\[[\w-]+\]\s*$|\d:\d\d|\b(?:DEBUG|INFO|WARN|ERROR|TRACE)\b|^\s*[\w.-]+:\s?\S+$|^\s*-\s*[\w-]+:")
-_STOP = re.compile(r"[.!?:](?=[\s\"')\]]|$)|[。！？]|[.!?][\"')]")
+_CODE = re.compile(r"[{}=<>\\`]|;\s*$|\w\(|\)\.|::|->|\"\s*:|:\d+:|^\s*(?i:at\s\w+\.|(?:import|package)\s)|^\s*@\w+|\[[\w-]+\]\s*$|\d:\d\d|\b(?:DEBUG|INFO|WARN|ERROR|TRACE)\b|^\s*[\w.-]+:\s?\S+$|^\s*-\s*[\w-]+:")
+_STOP = re.compile(r"[.!?:](?=[\s\"')\]]|$)|[。！？।॥؟۔։።]|[.!?][\"')]")
 _SEPARATOR = re.compile(r"\s*(?:[,;|•·~★☆✅✓✔»›¦、，；｜／]+|!{2,}|\.{3,}|…|\s[/*+–—-]\s|​|\t| {2,})\s*")
 _WORD = re.compile(r"\w+(?:['’]\w+)?")
+#: Signs around a word that aren't part of it.
+_EDGES = ".,;:!?()[]\"'“”‘’。！？、，।॥"
 _TAGGED = re.compile(r"(?:^|\s)#\w")
 _MONEY = re.compile(r"[$€£¥₹]\s?\d|\d\s?[$€£¥₹]|\b(?:USD|EUR|GBP|JPY|CHF)\s?\d|[-−]\d{1,2}\s?%|★{2,}|\b(?:SKU|EAN|ASIN|ISBN)\W{0,2}\d", re.I)
 
@@ -60,10 +62,12 @@ def _bucket(n: int) -> int:
     return n if n < 4 else n.bit_length() + 1
 
 
-def _stuffed(words: list[str]) -> bool:
-    """Whether a run of words is one or two phrases said over and over."""
-    n = len(words)
-    if n < 8:
+def _stuffed(words: list[str], n: int) -> bool:
+    """Whether a run of ``n`` words is one or two phrases said over and over.
+
+    ``n`` may exceed the spaced words where a script has no spaces.
+    """
+    if len(words) < 8:
         return False
     count = Counter(words)
     pairs = Counter(zip(words, words[1:]))
@@ -129,11 +133,11 @@ def line_shape(line: str) -> tuple[str, tuple, list[str]]:
             return "list", ("list", sign[0][0].strip() if sign else "", _bucket(total // len(parts)), _caps(rest)), [p.lower().strip(" .!") for p in parts]
     if total <= 7 and not _STOP.search(rest):
         return ("short", ("short", total, _caps(rest)), [rest.lower().strip()])
-    plain = _WORD.findall(rest.lower())
+    plain = [w for x in rest.lower().split() if (w := x.strip(_EDGES))]
     stops = len(_STOP.findall(rest))
     if total > 20 and total > 60 * max(stops, 0.34) and len(set(plain)) < 0.6 * len(plain):
         return "stuff", ("stuff", "run", _caps(rest)), [" ".join(p) for p in zip(plain, plain[1:])]
-    if _stuffed(plain):
+    if _stuffed(plain, max(total, len(plain))):
         return "stuff", ("stuff", "said", _bucket(total)), [" ".join(p) for p in zip(plain, plain[1:])]
     return "text", ("text",), []
 
@@ -141,7 +145,7 @@ def line_shape(line: str) -> tuple[str, tuple, list[str]]:
 _SPAM = {"list", "tags", "links", "goods", "stuff", "short"}
 _BREAK = re.compile(r"\r\n|[\n\r  \x0b\x0c\x85]")
 _PAINT = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
-_SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
+_SENTENCE = re.compile(r"(?<=[.!?。！？।॥؟۔։።])\s+")
 
 
 def _units(text: str) -> Iterator[str]:
@@ -190,7 +194,7 @@ def is_spam(text: str | None, share: float = SHARE, parts: int = PARTS) -> bool:
     if listed <= share * whole:
         words = Counter()
         for phrase, n in phrases.items():
-            for word in _WORD.findall(phrase):
+            for word in phrase.split():
                 words[word] += n
         if len(words) > DISTINCT * sum(words.values()):
             return False
