@@ -24,7 +24,7 @@ def file_stream(spark: SparkSession, folder: str, schema: str, per_trigger: int
 
 
 def debounce(events: DataFrame, key: str = "path", at: str = "ts", gap: str = "50 milliseconds", late: str | None = None) -> DataFrame:
-    """(key, start, stop, events): bursts of a key's events whose gaps are below ``gap``, one row each."""
+    """(key, start, stop, events): bursts of a key's events with gaps of ``gap`` at most, one row each."""
     source = events if late is None else events.withWatermark(at, late)
     return source.groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count("*").alias("events")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "events")
 
