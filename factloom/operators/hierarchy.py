@@ -7,12 +7,14 @@ equi-join each, whatever the shape of the trees. The ranks are entry-exit
 intervals, from which depth, root and number of descendants follow by
 arithmetic, and the paths by one sorted scan in blocks of bounded size.
 
-Peeling leaves layer by layer would take a round for every level of the
-deepest tree. Pointer doubling does the same job in log2 rounds: events on a
-tour that ends are finished when their pointer runs off its end, and a round
-that finishes nothing leaves exactly the events whose chain of parents never
-ends. (If a list of length 2^k or more were left, it would hold an event at
-distance 2^k from its end, and that one would have finished.)
+Leaves are peeled off first: a leaf is one fixed step within its parent's tour
+and gets its place from it afterwards, so the tours are built over inner nodes
+only. Peeling on, layer by layer, would take a round for every level of the
+deepest tree. Pointer doubling exposes the cycles in log2 rounds instead:
+events on a tour that ends are finished when their pointer runs off its end,
+and a round that finishes nothing leaves exactly the events whose chain of
+parents never ends. (If a list of length 2^k or more were left, it would hold
+an event at distance 2^k from its end, and that one would have finished.)
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,26 +43,48 @@ def _number(links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(ids.join(parents, ["tree", "parent"], "left").select("id", "tree", "node", "parent_id"), "nodes")
 
 
-def _successors(nodes: DataFrame) -> DataFrame:
-    """Events (e, nxt, w): 2*id enters a node, 2*id+1 leaves it; nxt is null at the end of a tour.
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(SIBLING_BUCKETS)).cast("int").alias("b")
 
-    A parent's children are chained bucket by bucket, so that a parent with a
-    third of all nodes is spread over SIBLING_BUCKETS groups.
+
+def _peel(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Inner nodes and roots; leaves with their number among their parent's (``nth``); leaves by parent (id, leaves).
+
+    Numbered bucket by bucket, so that a parent with a third of all nodes is
+    spread over SIBLING_BUCKETS groups.
+    """
+    parents = nodes.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("id"), F.lit(True).alias("inner")).distinct()
+    marked = scratch.save(nodes.join(parents, "id", "left"), "marked")
+    leaf = F.col("inner").isNull() & F.col("parent_id").isNotNull()
+    leaves = marked.where(leaf).select("id", "parent_id", _bucket())
+    sizes = leaves.groupBy("parent_id", "b").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("parent_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = leaves.withColumn("in_b", F.row_number().over(Window.partitionBy("parent_id", "b").orderBy("id")))
+    numbered = placed.join(sizes.withColumn("before", before), ["parent_id", "b"]).select("id", "parent_id", (F.col("before") + F.col("in_b") - 1).alias("nth"))
+    counts = sizes.groupBy(F.col("parent_id").alias("id")).agg(F.sum("n").alias("leaves"))
+    return marked.where(~leaf).select("id", "parent_id"), numbered, counts
+
+
+def _successors(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Events (e, nxt, w, rest): 2*id enters a node, 2*id+1 leaves it; nxt is null at the end of a tour.
+
+    ``rest`` counts the event and, for an entry, those of the node's peeled
+    leaves, which follow it. A parent's children are chained bucket by bucket.
     """
-    kids = nodes.where(F.col("parent_id").isNotNull()).select("id", "parent_id", F.pmod(F.xxhash64("id"), F.lit(SIBLING_BUCKETS)).cast("int").alias("b"))
-    bucket = Window.partitionBy("parent_id", "b")
-    inside = kids.withColumn("sibling", F.lead("id").over(bucket.orderBy("id")))
+    kids = nodes.where(F.col("parent_id").isNotNull()).select("id", "parent_id", _bucket())
+    inside = kids.withColumn("sibling", F.lead("id").over(Window.partitionBy("parent_id", "b").orderBy("id")))
     firsts = kids.groupBy("parent_id", "b").agg(F.min("id").alias("first"))
     chain = Window.partitionBy("parent_id").orderBy("b")
     chained = firsts.withColumn("following", F.lead("first").over(chain)).withColumn("rank", F.row_number().over(chain))
     after = inside.join(chained.select("parent_id", "b", "following"), ["parent_id", "b"]).select("id", F.coalesce("sibling", "following").alias("sibling"))
     first_child = chained.where(F.col("rank") == 1).select(F.col("parent_id").alias("id"), F.col("first").alias("child"))
-    full = nodes.select("id", "parent_id").join(first_child, "id", "left").join(after, "id", "left")
+    full = nodes.select("id", "parent_id").join(first_child, "id", "left").join(after, "id", "left").join(leaves, "id", "left")
+    enter, leave, one = 2 * F.col("id"), 2 * F.col("id") + 1, F.lit(1).cast("bigint")
     return full.select(
         F.inline(
             F.array(
-                F.struct((2 * F.col("id")).alias("e"), F.coalesce(2 * F.col("child"), 2 * F.col("id") + 1).alias("nxt"), F.lit(1).alias("w")),
-                F.struct((2 * F.col("id") + 1).alias("e"), F.coalesce(2 * F.col("sibling"), 2 * F.col("parent_id") + 1).alias("nxt"), F.lit(-1).alias("w")),
+                F.struct(enter.alias("e"), F.coalesce(2 * F.col("child"), leave).alias("nxt"), one.alias("w"), (1 + 2 * F.coalesce("leaves", F.lit(0).cast("bigint"))).alias("rest")),
+                F.struct(leave.alias("e"), F.coalesce(2 * F.col("sibling"), 2 * F.col("parent_id") + 1).alias("nxt"), (-one).alias("w"), one.alias("rest")),
             )
         )
     )
@@ -74,7 +98,7 @@ def _rank(events: DataFrame, scratch: Scratch) -> DataFrame:
     event's pointer is 2^k events ahead, or it is finished. Finished events
     are written once and leave the pointing side; they stay to be pointed at.
     """
-    now = scratch.save(events.select("e", "nxt", F.lit(1).cast("bigint").alias("rest"), F.col("w").cast("bigint").alias("sum"), F.when(F.col("nxt").isNull(), F.col("e")).alias("last")), "rank-0")
+    now = scratch.save(events.select("e", "nxt", "rest", F.col("w").alias("sum"), F.when(F.col("nxt").isNull(), F.col("e")).alias("last")), "rank-0")
     finished = now.where(F.col("nxt").isNull())
     left, step = now.where(F.col("nxt").isNotNull()).count(), 0
     while left:
@@ -155,7 +179,8 @@ def hierarchies(links: DataFrame, label: str = "hierarchy") -> DataFrame:
     """
     scratch = Scratch(links.sparkSession, label)
     nodes = _number(links.select("tree", "node", "parent"), scratch)
-    ranked = scratch.save(_rank(_successors(nodes), scratch), "ranked")
+    inner, leaves, counts = _peel(nodes, scratch)
+    ranked = scratch.save(_rank(_successors(inner, counts), scratch), "ranked")
     sides = ranked.groupBy(F.shiftright("e", 1).alias("id")).agg(
         F.max(F.when(F.col("e") % 2 == 0, F.col("rest"))).alias("enter"),
         F.max(F.when(F.col("e") % 2 == 1, F.col("rest"))).alias("leave"),
@@ -164,7 +189,11 @@ def hierarchies(links: DataFrame, label: str = "hierarchy") -> DataFrame:
         F.max(F.when(F.col("e") % 2 == 0, -F.col("sum"))).cast("int").alias("depth"),
         F.shiftright(F.max("last"), 1).alias("root_id"),
     )
-    full = scratch.save(nodes.select("id", "tree", "node").join(sides, "id", "left"), "sides")
+    inner_sides = scratch.save(inner.select("id").join(sides, "id", "left"), "inner")
+    above = inner_sides.select(F.col("id").alias("parent_id"), F.col("enter").alias("e"), F.col("depth").alias("d"), "root_id")
+    enter = F.col("e") - 1 - 2 * F.col("nth")
+    peeled = leaves.join(above, "parent_id", "left").select("id", enter.alias("enter"), (enter - 1).alias("leave"), (F.col("d") + 1).alias("depth"), "root_id")
+    full = scratch.save(nodes.select("id", "tree", "node").join(inner_sides.unionByName(peeled), "id"), "sides")
     paths = _paths(full.where(F.col("root_id").isNotNull()).select("id", F.col("root_id").alias("root"), "node", "enter", "leave"))
     return full.join(paths, "id", "left").select(
         "tree",
