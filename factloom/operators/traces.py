@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions.scalars import caller_chain_hash, fingerprint, package_of, prefix_locality, simple_name, suffix_similarity
+from factloom.operators.windows import blocked_lag
 
 
 def fingerprinted(events: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def reduce_states(events: DataFrame) -> DataFrame:
 
 def transitions(events: DataFrame) -> DataFrame:
     """(from_fp, to_fp, n): consecutive different states within a source."""
-    f = fingerprinted(events).withColumn("prev", F.lag("fp").over(Window.partitionBy("source_id").orderBy("pos")))
+    f = blocked_lag(fingerprinted(events), ["source_id"], "pos", "fp", "prev")
     return f.where(F.col("prev") != F.col("fp")).groupBy(F.col("prev").alias("from_fp"), F.col("fp").alias("to_fp")).agg(F.count("*").alias("n"))
 
 
@@ -85,7 +86,7 @@ def divergence(observed: DataFrame, first: list[str], second: list[str]) -> Data
 
 def observed_transitions(events: DataFrame) -> DataFrame:
     """(source_id, from_fp, to_fp) of consecutive different states."""
-    f = fingerprinted(events).withColumn("from_fp", F.lag("fp").over(Window.partitionBy("source_id").orderBy("pos")))
+    f = blocked_lag(fingerprinted(events), ["source_id"], "pos", "fp", "from_fp")
     return f.where(F.col("from_fp") != F.col("fp")).select("source_id", "from_fp", F.col("fp").alias("to_fp"))
 
 

@@ -15,6 +15,13 @@ from factloom.functions.scalars import excluded, glob_regex
 LANGUAGES = {"kt": "kotlin", "kts": "kotlin", "java": "java", "xml": "xml", "gradle": "gradle", "toml": "toml"}
 
 
+# How build scripts write SDK levels and plugins, and diffs their hunks.
+SDK_LEVEL = r"(?m)^\s*{}(?:Version)?\s*[=(]?\s*(\d+)"
+PLUGIN_ID = r"\bid\s*\(\s*[\"']([^\"']+)[\"']"
+HUNK_FIRST = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+HUNK_COUNT = r"^@@ -\d+(?:,\d+)? \+\d+,(\d+) @@"
+
+
 def source_tree(spark: SparkSession, root: str, endings: tuple[str, ...] = ("kt", "kts", "java"), excludes: list[str] | None = None) -> DataFrame:
     """(path, language, size, modified, content) of the files below ``root``; excluded ones are never read.
 
@@ -43,8 +50,8 @@ def git_hunks(diff: DataFrame) -> DataFrame:
 
     name = F.nullif(F.regexp_extract("line", r"^\+\+\+ (?:b/)?(.*)$", 1), F.lit(""))
     w = Window.partitionBy("diff_id").orderBy("pos")
-    first = F.regexp_extract("line", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", 1)
-    count = F.regexp_extract("line", r"^@@ -\d+(?:,\d+)? \+\d+,(\d+) @@", 1)
+    first = F.regexp_extract("line", HUNK_FIRST, 1)
+    count = F.regexp_extract("line", HUNK_COUNT, 1)
     rows = diff.withColumn("file", F.last(name, ignorenulls=True).over(w)).where(F.col("line").startswith("@@ "))
     rows = rows.select("file", first.try_cast("int").alias("first"), F.coalesce(count.try_cast("int"), F.lit(1)).alias("n"))
     return rows.where("n > 0").select("file", "first", (F.col("first") + F.col("n") - 1).alias("last"))
@@ -84,8 +91,8 @@ def gradle_settings(texts: DataFrame) -> DataFrame:
 
 def gradle_config(texts: DataFrame) -> DataFrame:
     """(doc_id, min_sdk, target_sdk, compile_sdk, plugins) of build scripts."""
-    sdk = lambda name: F.regexp_extract("text", rf"(?m)^\s*{name}(?:Version)?\s*[=(]?\s*(\d+)", 1).try_cast("int")
-    plugins = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\bid\s*\(\s*[\"']([^\"']+)[\"']"), F.lit(1)))), ",")
+    sdk = lambda name: F.regexp_extract("text", SDK_LEVEL.format(name), 1).try_cast("int")
+    plugins = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(PLUGIN_ID), F.lit(1)))), ",")
     return texts.select("doc_id", sdk("minSdk").alias("min_sdk"), sdk("targetSdk").alias("target_sdk"), sdk("compileSdk").alias("compile_sdk"), plugins.alias("plugins"))
 
 

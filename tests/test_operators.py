@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom.functions import scalars as S
 from factloom.operators import findings as A
@@ -12,6 +13,7 @@ from factloom.operators import history as H
 from factloom.operators import references as R
 from factloom.operators import traces as T
 from factloom.operators.ranges import innermost, points_in_intervals
+from factloom.operators.windows import blocked_lag
 from factloom.operators.text import apply_edits, cyclomatic
 from factloom.plans import rules as P
 
@@ -156,6 +158,13 @@ def test_transitions_do_not_cross_sources_and_times_of_zero_do_not_widen(spark):
     assert {r.role for r in states.values()} == {""}
 
 
+def test_lag_over_blocks_equals_the_plain_one(spark, rows):
+    df = spark.createDataFrame([(k, i * i % 101, str(i % 7)) for k in ("a", "b") for i in range(11)] + [("c", None, "x"), (None, 3, "y")], "k string, pos int, v string").dropDuplicates(["k", "pos"])
+    plain = df.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("pos")))
+    for width in (1, 10, 1000):
+        assert rows(blocked_lag(df, ["k"], "pos", "v", "p", width), "k", "pos", "v", "p") == rows(plain, "k", "pos", "v", "p")
+
+
 def test_caller_chain_uses_four_frames_below_the_top(spark):
     df = spark.createDataFrame([(["t", "1", "2", "3", "4", "5"],), (["t", "1", "2", "3", "4", "other"],), (["t"],), ([],)], "f array<string>")
     a, b, none, empty = [r[0] for r in df.select(S.caller_chain_hash(F.col("f"))).collect()]
