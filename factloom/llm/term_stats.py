@@ -78,7 +78,7 @@ def _aggregate(leaves: DataFrame) -> DataFrame:
                 system, where = fs.FileSystem.from_uri(f"{folder}/path={path}")
                 spilled = ds.dataset(where, filesystem=system, format="parquet")
                 # Out of core in the shared folder too; without one, the splits alone bound a leaf.
-                own = f"{os.path.dirname(os.path.dirname(where))}/duckdb-{path}" if system.type_name == "local" else ""
+                own = f"{os.path.dirname(os.path.dirname(where))}/duckdb-{path}-{os.getpid()}" if system.type_name == "local" else ""
                 with duckdb.connect(config={"memory_limit": MEMORY, "threads": 1, "temp_directory": own, "preserve_insertion_order": False}) as db:
                     source = spilled.scanner(columns=["field", "term", "record", "n"], batch_size=65536).to_reader()
                     db.register("spilled", source)
