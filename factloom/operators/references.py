@@ -151,22 +151,21 @@ def resolve_types(wanted: DataFrame, symbols: DataFrame, imports: DataFrame) ->
     name is itself; else all candidates of wildcard imports; only without any,
     the simple name over all symbols.
     """
-    known = symbols.select("fqn", "name").distinct()
+    package = F.regexp_extract("fqn", r"^(.*)\.[^.]*$", 1)
+    known = symbols.select("fqn", "name", package.alias("package")).distinct()
     w = wanted.select("file", "name").distinct()
     simple = F.regexp_extract("import", r"([^.]*)$", 1)
-    explicit = imports.where(simple != "*").select("file", simple.alias("name"), F.col("import").alias("fqn"))
-    package = imports.where(simple == "*").select("file", F.regexp_extract("import", r"^(.*)\.\*$", 1).alias("package"))
-    of_package = known.select("fqn", "name", F.regexp_extract("fqn", r"^(.*)\.[^.]*$", 1).alias("package"))
-    wild = package.join(of_package, "package").select("file", "name", "fqn")
-    found = (
-        w.join(explicit, ["file", "name"]).withColumn("_p", F.lit(1))
-        .unionByName(w.where(F.col("name").contains(".")).withColumn("fqn", F.col("name")).withColumn("_p", F.lit(2)))
-        .unionByName(w.join(wild, ["file", "name"]).withColumn("_p", F.lit(3)))
-        .unionByName(w.join(known, "name").select("file", "name", "fqn").withColumn("_p", F.lit(4)))
-    )
-    best = F.min("_p").over(Window.partitionBy("file", "name"))
-    how = F.element_at(F.array(*map(F.lit, ("import", "dotted", "wildcard", "name"))), F.col("_p"))
-    return found.distinct().withColumn("_b", best).where(F.col("_p") == F.col("_b")).select("file", "name", "fqn", how.alias("how"))
+    explicit = imports.where(simple != "*").select("file", simple.alias("name"), F.col("import").alias("fqn")).distinct()
+    wild = imports.where(simple == "*").select("file", F.regexp_extract("import", r"^(.*)\.\*$", 1).alias("package"), F.lit(1).alias("_wild")).distinct()
+    imported = w.join(explicit, ["file", "name"]).select("file", "name", "fqn", F.lit("import").alias("how"))
+    left = w.join(explicit, ["file", "name"], "left_anti")
+    dotted = left.where(F.col("name").contains(".")).select("file", "name", F.col("name").alias("fqn"), F.lit("dotted").alias("how"))
+    # Each candidate once; those of a wildcard import push out the others of the name.
+    candidates = left.where(~F.col("name").contains(".")).join(known, "name").join(wild, ["file", "package"], "left")
+    any_ = F.max("_wild").over(Window.partitionBy("file", "name"))
+    kept = candidates.withColumn("_any", any_).where(F.col("_any").isNull() | F.col("_wild").isNotNull())
+    named = kept.select("file", "name", "fqn", F.when(F.col("_any").isNull(), "name").otherwise("wildcard").alias("how"))
+    return imported.unionByName(dotted).unionByName(named)
 
 
 def dependents(symbols: DataFrame, refs: DataFrame) -> DataFrame:

@@ -87,7 +87,11 @@ def gr10(module_edges):
     return G.consumers(module_edges)
 
 
-@query("gr8_transitive_impact", "symbols refs", None)
+@query("gr8_transitive_impact", "symbols refs", """
+    {rec}, u AS (SELECT DISTINCT r.name, r.file FROM refs r WHERE NOT EXISTS (SELECT 1 FROM symbols d WHERE d.name = r.name AND d.file = r.file)),
+    n AS (SELECT DISTINCT fqn, name FROM symbols), e AS (SELECT DISTINCT n.fqn AS src, s.fqn AS dst FROM n JOIN u ON u.name = n.name JOIN symbols s ON s.file = u.file AND s.visibility <> 'private'),
+    p AS (SELECT DISTINCT fqn FROM symbols WHERE is_main UNION SELECT e.dst FROM p JOIN e ON e.src = p.fqn)
+    SELECT DISTINCT p.fqn, u.file FROM p JOIN n ON n.fqn = p.fqn JOIN u ON u.name = n.name""")
 def gr8(symbols, refs):
     return G.transitive_impact(symbols.where("is_main").select("fqn"), symbols, refs)
 

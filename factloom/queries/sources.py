@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators.hierarchy import distinct_links, hierarchies
 from factloom.operators.traces import otlp_frames
+from factloom.queries.problems import SQL as P_SQL
 from factloom.queries.problems import spans
 from factloom.queries.standins import fact, with_facts
 from factloom.session import table
@@ -87,11 +88,16 @@ def src18_otlp_events(spark, sf_dir):
 
 
 QUERIES["src18_otlp_events"] = src18_otlp_events
+SQL["src18_otlp_events"] = f"SELECT trace_id, span_id, least(depth + 1, 32)::INT AS n_frames, span_id AS top FROM ({P_SQL['p5_found']}) WHERE depth >= 0"
 
 
-@query("st2_debounce", "runtime", None)
+@query("st2_debounce", "runtime", """
+    SELECT path, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS events FROM (
+      SELECT path, ts, sum(fresh) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM (
+        SELECT source_id AS path, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY source_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM runtime)) GROUP BY path, burst""")
 def st2(runtime):
-    return I.debounce(runtime.select(F.col("source_id").alias("path"), F.col("ts").cast("timestamp").alias("ts")), gap="30 minutes")
+    bursts = I.debounce(runtime.select(F.col("source_id").alias("path"), F.col("ts").cast("timestamp").alias("ts")), gap="30 minutes")
+    return bursts.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "stop")})
 
 
 @query("st3_domain_versions", "files", "SELECT CASE WHEN ends_with(path, '.xml') THEN 'resources' ELSE 'source' END AS domain, count(*) AS version FROM files GROUP BY 1")
