@@ -89,7 +89,31 @@ def _cut(ranked: DataFrame, group: list[str], at: str, limit: Column, size: str,
     return placed.select(*group, at, (F.col("_limit") - F.col("_before")).alias("open"))
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
+def _scales(sized: DataFrame, plan: list[Allocation], uneven: bool) -> dict[str, float]:
+    """For each source the factor from a document's importance to its expected uses.
+
+    With uneven importances some documents reach their repeats, and the factor
+    rises for the others; each round is one aggregate with a row per source.
+    """
+    scale = {a.source: a.target / a.tokens for a in plan if a.target}
+    if not uneven or not scale:
+        return scale
+    most = {a.source: a.max_repeats for a in plan}
+    target = {a.source: a.target for a in plan}
+    scale = dict.fromkeys(scale, 0.0)
+    for _ in range(60):
+        now = F.broadcast(sized.sparkSession.createDataFrame([(s, float(k), most[s]) for s, k in scale.items()], "source string, scale double, most int"))
+        full = F.col("scale") * F.col("importance") >= F.col("most")
+        sums = sized.join(now, "source").groupBy("source").agg(F.sum(F.when(full, F.col("most") * F.col("tokens")).otherwise(0)).alias("full"), F.sum(F.when(~full, F.col("importance") * F.col("tokens")).otherwise(0.0)).alias("part")).collect()
+        fresh = {r["source"]: max(scale[r["source"]], (target[r["source"]] - r["full"]) / r["part"]) if r["part"] > 0 else scale[r["source"]] for r in sums}
+        done = all(abs(fresh[s] - scale[s]) <= 1e-9 * fresh[s] for s in fresh)
+        scale = fresh
+        if done:
+            break
+    return scale
+
+
+def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, vocabulary: str | None = None, importance: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix (doc_id, source, tokens, copies) and its shares.
 
     Shares: (source, weight, max_repeats, documents, available_tokens,
@@ -98,47 +122,52 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
 
     A document is used ``copies`` times, at least once and never more than its
     source's ``max_repeats``. The tokens of a source miss its target by half a
-    document at most. Documents without id, source, tokens or target are not
-    used; a repeated doc_id counts once (the greatest source, then the longest
-    text). Empty tables give an empty mix, targets without documents a share
-    of 0.
+    document at most. ``importance`` names a column of relative uses within a
+    source: inclusion is in proportion to it; null, not a number or not above
+    0 counts as never used, and without the column all documents are alike.
+    Documents without id, source, tokens or target are not used; a repeated
+    doc_id counts once (the greatest source, then the longest text). Empty
+    tables give an empty mix, targets without documents a share of 0.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "mix")
-    counted = count_tokens(documents.where(F.col("source").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0)), ["doc_id", "source"], vocabulary=vocabulary)
-    sized = scratch.save(counted.groupBy("doc_id").agg(F.max(F.struct("source", "tokens")).alias("x")).select("doc_id", "x.*").where("tokens > 0"), "sized")
+    usable = documents.where(F.col("source").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    kept = usable.select("doc_id", "source", "text", (F.lit(1.0) if importance is None else F.col(importance).cast("double")).alias("importance"))
+    counted = count_tokens(kept.where((F.col("importance") > 0) & ~F.isnan("importance")), ["doc_id", "source", "importance"], vocabulary=vocabulary)
+    sized = scratch.save(counted.groupBy("doc_id").agg(F.max(F.struct("source", "tokens", "importance")).alias("x")).select("doc_id", "x.*").where("tokens > 0"), "sized")
     sizes = sized.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").cast("double").alias("tokens"))
     plan = allocate(sizes, targets, total)
+    scale = _scales(sized, plan, importance is not None)
 
-    rows = []
-    for a in plan:
-        if a.target:
-            copies = a.target / a.tokens
-            base = min(int(copies + 1e-9), a.max_repeats)
-            rest = max(0, round(a.target - base * a.tokens)) if base < a.max_repeats else 0
-            rows.append((a.source, base, rest, min(max(rest / a.tokens, 1e-12), 1 - 1e-12)))
     # One row for each target source, as allocate() has it.
-    given = F.broadcast(spark.createDataFrame(rows, "source string, base int, rest bigint, inclusion double"))
-    ranked = sized.join(given, "source").withColumn("rank", pareto_order("doc_id", F.col("inclusion"), seed))
+    given = F.broadcast(spark.createDataFrame([(a.source, scale[a.source], a.max_repeats, a.target) for a in plan if a.target], "source string, scale double, most int, target bigint"))
+    expected = F.least(F.col("scale") * F.col("importance"), F.col("most").cast("double"))
+    base = F.floor(expected + 1e-9).cast("int")
+    used = sized.join(given, "source").withColumn("base", base)
+    used = used.withColumn("rank", pareto_order("doc_id", F.greatest(F.least(expected - F.col("base"), F.lit(1 - 1e-12)), F.lit(1e-12)), seed))
+    rest = F.broadcast(used.groupBy("source").agg((F.max("target") - F.sum(F.col("base") * F.col("tokens"))).alias("rest")).where("rest > 0"))
+    ranked = used.where("base < most").join(rest, "source")
     coarse, fine = F.floor(F.col("rank") * BINS).cast("int"), F.floor(F.col("rank") * BINS * BINS).cast("int")
     # Both results have a row for each source at most.
-    first = F.broadcast(_cut(ranked.where("rest > 0"), ["source"], "b1", F.col("rest"), "tokens", coarse))
+    first = F.broadcast(_cut(ranked, ["source"], "b1", F.col("rest"), "tokens", coarse))
     inside = ranked.join(first, "source").where(coarse == F.col("b1"))
     second = F.broadcast(_cut(inside, ["source"], "b2", F.col("open"), "tokens", fine))
-    last = ranked.join(second, "source").where(fine == F.col("b2"))
+    cut = ranked.join(second, "source", "left")
+    # Where the tokens of all candidates do not reach the limit, there is no cut and all are taken.
+    sure = cut.where(F.col("b2").isNull() | (fine < F.col("b2"))).select("doc_id")
+    last = cut.where(fine == F.col("b2"))
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # The document that passes the limit is taken if that comes nearer to it.
-    edge = last.withColumn("_before", before).where(2 * (F.col("open") - F.col("_before")) > F.col("tokens")).select("doc_id", F.lit(1).alias("extra"))
-    sure = ranked.join(second.select("source", "b2"), "source", "left").withColumn("sure", F.coalesce((fine < F.col("b2")) & (F.col("rest") > 0), F.lit(False)))
+    edge = last.withColumn("_before", before).where(2 * (F.col("open") - F.col("_before")) > F.col("tokens")).select("doc_id")
     mixed = (
-        sure.join(edge, "doc_id", "left")
-        .withColumn("copies", F.col("base") + F.when(F.col("sure") | F.col("extra").isNotNull(), 1).otherwise(0))
+        used.join(sure.unionByName(edge).withColumn("extra", F.lit(1)), "doc_id", "left")
+        .withColumn("copies", F.col("base") + F.coalesce("extra", F.lit(0)))
         .where("copies > 0")
         .select("doc_id", "source", "tokens", "copies")
     )
     mixed = scratch.save(mixed, "mixed")
-    used = mixed.groupBy("source").agg(F.count("*").alias("used_documents"), F.sum(F.col("tokens") * F.col("copies")).alias("mix_tokens"), F.max("copies").alias("most_copies"))
+    given_out = mixed.groupBy("source").agg(F.count("*").alias("used_documents"), F.sum(F.col("tokens") * F.col("copies")).alias("mix_tokens"), F.max("copies").alias("most_copies"))
     goals = spark.createDataFrame([(a.source, a.weight, a.max_repeats, a.documents, int(a.tokens), a.target) for a in plan], "source string, weight double, max_repeats int, documents bigint, available_tokens bigint, target_tokens bigint")
-    full = goals.join(used, "source", "left").fillna(0, ["used_documents", "mix_tokens", "most_copies"])
+    full = goals.join(given_out, "source", "left").fillna(0, ["used_documents", "mix_tokens", "most_copies"])
     share = F.coalesce(F.try_divide(F.col("mix_tokens"), F.sum("mix_tokens").over(Window.partitionBy(F.lit(0)))), F.lit(0.0))
     return mixed, full.withColumn("share", share).select("source", "weight", "max_repeats", "documents", "available_tokens", "target_tokens", "used_documents", "mix_tokens", "share", "most_copies")

@@ -60,6 +60,16 @@ def test_dirt_repeats_and_empty_tables(spark, rows):
         assert mixed.count() == 0 and shares.count() == b.where("source IS NOT NULL").select("source").distinct().count()
 
 
+def test_importance_makes_inclusion_unequal_and_repeats_cap_it(spark):
+    d = corpus(spark, {"a": 600}, words=20).withColumn("imp", F.when(F.col("doc_id") % 3 == 0, 6.0).when(F.col("doc_id") % 3 == 1, 1.0).otherwise(None))
+    mixed, shares = mix(d, spark.createDataFrame([("a", 1.0, 2)], TARGETS), total=9000, importance="imp")
+    uses = {r.g: r.n for r in mixed.groupBy((F.col("doc_id") % 3).alias("g")).agg(F.sum("copies").alias("n")).collect()}
+    row = shares.first()
+    assert abs(row.mix_tokens - 9000) <= 20 and row.most_copies == 2
+    # 400 tokens a document group of 200; the important ones reach both repeats or come near.
+    assert 2 not in uses and uses[0] > 3 * uses[1]
+
+
 def test_the_same_seed_gives_the_same_mix(spark, rows):
     d = corpus(spark, {"a": 200})
     targets = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
