@@ -149,9 +149,8 @@ def majority(rows: DataFrame, value: str) -> DataFrame:
 
 def below_maximum(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, top) of the rows below the greatest value."""
-    # One row, joined by a constant.
-    top = F.broadcast(rows.agg(F.max(value).alias("top")).withColumn("_one", F.lit(1)))
-    return rows.withColumn("_one", F.lit(1)).join(top, "_one").where(F.col(value) < F.col("top")).select(key, value, "top")
+    top = rows.agg(F.max(value)).scalar()
+    return rows.withColumn("top", top).where(F.col(value) < F.col("top")).select(key, value, "top")
 
 
 def all_but_first(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -177,14 +176,13 @@ def lru_evict(entries: DataFrame, cap: int, low: float = 0.8) -> DataFrame:
     The running sum is over buckets of time first, so no single task sorts
     every entry.
     """
-    # One row, joined by a constant.
-    whole = F.broadcast(entries.agg(F.sum("bytes").alias("_all")).withColumn("_one", F.lit(1)))
+    whole = entries.agg(F.sum("bytes")).scalar()
     hour = F.date_trunc("hour", "used_at")
     buckets = entries.groupBy(hour.alias("_h")).agg(F.sum("bytes").alias("_s"))
     newer = F.coalesce(F.sum("_s").over(Window.orderBy(F.desc("_h")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = entries.withColumn("_h", hour).join(buckets.withColumn("_newer", newer).drop("_s"), "_h")
     within = F.sum("bytes").over(Window.partitionBy("_h").orderBy(F.desc("used_at"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0))
-    kept = placed.withColumn("_sum", F.col("_newer") + within).withColumn("_one", F.lit(1)).join(whole, "_one")
+    kept = placed.withColumn("_sum", F.col("_newer") + within).withColumn("_all", whole)
     return kept.where((F.col("_all") > cap) & (F.col("_sum") > cap * low)).select("key", "bytes", "used_at")
 
 
