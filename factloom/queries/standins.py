@@ -48,10 +48,12 @@ FACTS = {
     "modules": """
         SELECT ':m' || s_suppkey AS path, 'src/m' || s_suppkey AS dir, r_name AS layer, s_acctbal < 1000 AS is_published
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    # Every row is an edge between a supplier and a part folded into the suppliers; from the lower of five levels to the higher, so that the dense graph isn't one component.
     "module_edges": """
-        SELECT DISTINCT ':m' || l_suppkey AS src, ':m' || (l_partkey % 100) AS dst,
-               CASE WHEN l_tax < 0.04 THEN 'api' ELSE 'implementation' END AS configuration
-        FROM lineitem WHERE l_quantity >= 49 AND l_discount = 0.1 AND l_suppkey <> l_partkey % 100""",
+        SELECT DISTINCT ':m' || CASE WHEN a % 5 <= b % 5 THEN a ELSE b END AS src, ':m' || CASE WHEN a % 5 <= b % 5 THEN b ELSE a END AS dst, configuration
+        FROM (SELECT l_suppkey AS a, l_partkey % (SELECT greatest(count(*), 1) FROM supplier) AS b,
+                     CASE WHEN l_tax < 0.04 THEN 'api' ELSE 'implementation' END AS configuration
+              FROM lineitem)""",
     "files": """
         SELECT 'src/m' || (o_custkey % 100) || '/f' || o_orderkey || CASE o_orderstatus WHEN 'O' THEN '.kt' WHEN 'F' THEN '.java' ELSE '.xml' END AS path,
                CASE o_orderstatus WHEN 'O' THEN 'kotlin' WHEN 'F' THEN 'java' ELSE 'xml' END AS language,

@@ -220,3 +220,14 @@ def test_rule_selection_order_and_running(spark, rows):
     assert rows(table.where(P.is_active(enabled=["A"], disabled=["B"])), "rule") == [("A",)]
     assert rows(table.where(P.capability_match(["cross-file"], [])), "rule") == [("B",)] and table.where(P.capability_match(["?"], [])).count() == 0
     assert rows(P.within_cost(table, 0), "rule") == [("A",)]
+
+
+def test_every_lineitem_gives_a_module_edge(spark):
+    from factloom.queries.standins import fact
+    from tests.compare import SMALL
+
+    n = spark.read.parquet(f"{SMALL}/supplier.parquet").count()
+    ends = spark.read.parquet(f"{SMALL}/lineitem.parquet").selectExpr("l_suppkey AS a", f"l_partkey % {n} AS b").distinct().collect()
+    edges = {(r.src, r.dst) for r in fact(spark, SMALL, "module_edges").collect()}
+    assert edges == {(f":m{x}", f":m{y}") for r in ends for x, y in [sorted((r.a, r.b), key=lambda k: k % 5) if r.a % 5 != r.b % 5 else (r.a, r.b)]}
+    assert len({e for e, _ in edges} | {e for _, e in edges}) == n
