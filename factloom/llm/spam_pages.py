@@ -79,6 +79,8 @@ def _stuffed(words: list[str], n: int) -> bool:
 def line_shape(line: str) -> tuple[str, tuple, list[str]]:
     """(kind, shape, phrases) of a line that isn't blank.
 
+    Links without text and further parts of product lines are empty phrases.
+
     Kinds: ``text`` (sentences), ``data`` (code, logs, configuration, tables),
     ``short`` (a lone phrase: a title, or one entry of a list), ``list``
     (several phrases between separators), ``tags``, ``links``, ``goods``
@@ -109,20 +111,21 @@ def line_shape(line: str) -> tuple[str, tuple, list[str]]:
         rest = _HTML.sub(" ", rest)
         rest, more = _LINK.subn(" ", rest)
         links += more
-    elif "." in rest and len(rest) < 200:
+    elif "." in rest:
         rest, links = _HOST.subn(" ", rest)
     if not links and not _WORD.search(rest):
         return "data", ("data",), []
     if links:
         outside = _wordlike(" ".join(_WORD.findall(rest)))
         if outside <= 5 * links:
-            return "links", ("links", _bucket(links), min(outside // links, 5)), [a.lower() for a in anchors] or [" ".join(rest.split()).lower()]
+            said = [a.lower() for a in anchors] or [" ".join(rest.split()).lower()]
+            return "links", ("links", _bucket(links), min(outside // links, 5)), said + [""] * (links - len(said))
         if outside < 8 or _CODE.search(rest):
             return "data", ("data",), []
     if _MONEY.search(rest) and ("|" in rest or len(_MONEY.findall(rest)) >= 2):
         parts = [p for p in re.split(r"\s*[|,;•·]\s*|\s{2,}|\t", rest) if p]
         if len(parts) >= 2 and all(_wordlike(p) <= 8 for p in parts):
-            return "goods", ("goods", len(parts), _caps(parts[0])), [parts[0].lower()]
+            return "goods", ("goods", len(parts), _caps(parts[0])), [parts[0].lower()] + [""] * (len(parts) - 1)
     parts = [p for p in _SEPARATOR.split(rest) if p and not p.isspace()]
     sizes = [_wordlike(p) for p in parts]
     total = sum(sizes)

@@ -53,6 +53,25 @@ def test_odd_texts_are_no_cases(text):
     assert not is_spam(text)
 
 
+DENSE = {
+    "urls of one line": " ".join(f"https://a-{i}.example/p/{i}" for i in range(100)),
+    "urls of eleven lines": "\n".join(" ".join(f"https://a-{i}-{j}.example/p" for j in range(10)) for i in range(11)),
+    "hosts of one line": " ".join(f"pump-{i}.example" for i in range(100)),
+    "hosts between commas": ", ".join(f"pump-{i}.example" for i in range(100)),
+    "goods of three lines": "\n".join(f"BluePump Kit {i} | SKU {10000 + i} | USD {i}.99 | -53% | NEW" for i in range(3)),
+}
+
+
+@pytest.mark.parametrize("name", DENSE)
+def test_items_count_however_lines_are_cut(name):
+    assert is_spam(DENSE[name])
+
+
+@pytest.mark.parametrize("text", [PROSE * 6 + "See pump.example and valve.example. ", "a.bb." * 60_000 + "1", "a-b." * 60_000])
+def test_hosts_in_long_lines_are_no_cases(text):
+    assert not is_spam(text)
+
+
 def test_shapes_join_lines_of_one_make():
     a, b = (line_shape(f"{w} Kit | SKU {n} | $9.99 | NEW")[1] for w, n in (("Blue", 1), ("Green", 22)))
     assert a == b and a[0] == "goods"
