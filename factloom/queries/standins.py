@@ -16,42 +16,48 @@ BASE = "region nation customer supplier part orders lineitem events documents em
 
 _PLAIN = "regexp_replace(replace({}, chr(92), '/'), '^[.]/', '')"
 
+#: Names, files and modules that keys are folded into; they grow with the tables, from 700, 650, 300 and 100 of them up to sf0.01.
+_NAMES = "(SELECT greatest(CAST(floor(count(*) * 7 / 20) AS BIGINT), 700) FROM part)"
+_USED_NAMES = "(SELECT greatest(CAST(floor(count(*) * 13 / 40) AS BIGINT), 650) FROM part)"
+_FILES = "(SELECT greatest(CAST(floor(count(*) / 50) AS BIGINT), 300) FROM orders)"
+_MODULES = "(SELECT greatest(count(*), 1) FROM supplier)"
+
 FACTS = {
-    "symbols": """
-        SELECT 'N' || (p_partkey % 700) AS name,
-               'dev.p' || p_size || '.N' || (p_partkey % 700) AS fqn,
+    "symbols": f"""
+        SELECT 'N' || (p_partkey % {_NAMES}) AS name,
+               'dev.p' || p_size || '.N' || (p_partkey % {_NAMES}) AS fqn,
                p_type AS kind,
                CASE p_partkey % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' ELSE 'private' END AS visibility,
-               'f' || (p_partkey % 300) AS file,
+               'f' || (p_partkey % {_FILES}) AS file,
                CAST(p_partkey % 97 AS INT) AS line,
                CAST(p_partkey AS BIGINT) AS start_byte,
                p_partkey % 11 = 0 AS is_override,
                p_partkey % 13 = 0 AS is_test,
                p_partkey % 83 = 0 AS is_main,
-               ':m' || (p_partkey % 100) AS module,
+               ':m' || (p_partkey % greatest({_MODULES}, 100)) AS module,
                p_name || '(' || p_brand || ')' AS signature,
                CAST(p_size % 4 AS INT) AS arity
         FROM part""",
-    "refs": """
-        SELECT CASE WHEN l_linenumber = 7 THEN 'dev.p' || (l_suppkey % 50 + 1) || '.N' || (l_partkey % 650) ELSE 'N' || (l_partkey % 650) END AS name,
-               'f' || (l_orderkey % 300) AS file,
+    "refs": f"""
+        SELECT CASE WHEN l_linenumber = 7 THEN 'dev.p' || (l_suppkey % 50 + 1) || '.N' || (l_partkey % {_USED_NAMES}) ELSE 'N' || (l_partkey % {_USED_NAMES}) END AS name,
+               'f' || (l_orderkey % {_FILES}) AS file,
                CAST(l_linenumber AS INT) AS line,
                l_returnflag = 'R' AS in_comment,
                CAST(l_orderkey AS BIGINT) AS start_byte,
                ':m' || l_suppkey AS module,
-               l_orderkey % 300 % 9 = 0 AS is_test
+               l_orderkey % {_FILES} % 9 = 0 AS is_test
         FROM lineitem""",
-    "imports": """
-        SELECT DISTINCT 'f' || (l_orderkey % 300) AS file,
-               CASE WHEN l_linestatus = 'F' AND l_linenumber < 3 THEN 'dev.p' || (l_suppkey % 50 + 1) || '.*' ELSE 'dev.p' || (l_suppkey % 50 + 1) || '.N' || (l_partkey % 650) END AS import
+    "imports": f"""
+        SELECT DISTINCT 'f' || (l_orderkey % {_FILES}) AS file,
+               CASE WHEN l_linestatus = 'F' AND l_linenumber < 3 THEN 'dev.p' || (l_suppkey % 50 + 1) || '.*' ELSE 'dev.p' || (l_suppkey % 50 + 1) || '.N' || (l_partkey % {_USED_NAMES}) END AS import
         FROM lineitem WHERE l_linenumber < 4""",
     "modules": """
         SELECT ':m' || s_suppkey AS path, 'src/m' || s_suppkey AS dir, r_name AS layer, s_acctbal < 1000 AS is_published
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     # Every row is an edge between a supplier and a part folded into the suppliers; from the lower of five levels to the higher, so that the dense graph isn't one component.
-    "module_edges": """
+    "module_edges": f"""
         SELECT DISTINCT ':m' || CASE WHEN a % 5 <= b % 5 THEN a ELSE b END AS src, ':m' || CASE WHEN a % 5 <= b % 5 THEN b ELSE a END AS dst, configuration
-        FROM (SELECT l_suppkey AS a, l_partkey % (SELECT greatest(count(*), 1) FROM supplier) AS b,
+        FROM (SELECT l_suppkey AS a, l_partkey % {_MODULES} AS b,
                      CASE WHEN l_tax < 0.04 THEN 'api' ELSE 'implementation' END AS configuration
               FROM lineitem)""",
     "files": """
@@ -61,8 +67,8 @@ FACTS = {
                CAST(floor(o_totalprice / 1000) AS INT) AS loc, CAST(floor(o_totalprice) AS BIGINT) AS bytes,
                o_orderkey % 10 = 0 AS is_test, CAST(o_orderkey AS BIGINT) AS file_id
         FROM orders""",
-    "commits": """
-        SELECT 'c' || o_orderkey AS commit_sha, 'f' || (l_partkey % 300) AS file, o_orderdate AS committed_at, 'dev' || (o_custkey % 40) AS author
+    "commits": f"""
+        SELECT 'c' || o_orderkey AS commit_sha, 'f' || (l_partkey % {_FILES}) AS file, o_orderdate AS committed_at, 'dev' || (o_custkey % 40) AS author
         FROM orders JOIN lineitem ON l_orderkey = o_orderkey""",
     "found": f"""
         SELECT DISTINCT report_id, {_PLAIN.format("file")} AS file, line, col, start_byte, end_byte, lower(trim(rule_set)) AS rule_set, lower(trim(rule)) AS rule,

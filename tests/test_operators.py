@@ -231,3 +231,22 @@ def test_every_lineitem_gives_a_module_edge(spark):
     edges = {(r.src, r.dst) for r in fact(spark, SMALL, "module_edges").collect()}
     assert edges == {(f":m{x}", f":m{y}") for r in ends for x, y in [sorted((r.a, r.b), key=lambda k: k % 5) if r.a % 5 != r.b % 5 else (r.a, r.b)]}
     assert len({e for e, _ in edges} | {e for _, e in edges}) == n
+
+
+def test_names_and_files_grow_with_the_tables(spark):
+    from factloom.queries.standins import FACTS
+
+    def counts(parts, orders):
+        tables = {"part": spark.range(parts).selectExpr("id AS p_partkey", "1 AS p_size", "'' AS p_type", "'' AS p_name", "'' AS p_brand"), "orders": spark.range(orders).selectExpr("id AS o_orderkey"), "supplier": spark.range(parts // 20),
+                  "lineitem": spark.range(orders).selectExpr("id AS l_orderkey", f"id % {parts} AS l_partkey", "0 AS l_suppkey", "1 AS l_linenumber", "'N' AS l_returnflag")}
+        out = []
+        for fact, keys in (("symbols", ("name", "file", "module")), ("refs", ("name", "file"))):
+            sql = FACTS[fact]
+            for t in tables:
+                sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
+            df = spark.sql(sql, **{t: d for t, d in tables.items() if f"{{{t}}}" in sql})
+            out += [df.select(k).distinct().count() for k in keys]
+        return out
+
+    assert counts(2000, 15000) == [700, 300, 100, 650, 300]
+    assert counts(4000, 30000) == [1400, 600, 200, 1300, 600]
