@@ -8,8 +8,8 @@ planned, so a failed run skips and repeats nothing. Results go to a sink in
 which a (key, offset) counts once, whatever was written twice.
 
 An offset is the pair (arrival time, record id), which the log carries itself,
-so no numbering pass over the log is needed; a partition is a hash bucket of
-the key.
+so no numbering pass over the log is needed. Records are assigned to no
+partition: the partition numbers of a plan are nominal and share its bounds.
 """
 
 from __future__ import annotations
