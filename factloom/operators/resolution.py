@@ -1,4 +1,4 @@
-"""Callables, hierarchies of types, cycles within modules, renames and codemods."""
+"""Callables, hierarchies of types, cycles within modules and renames."""
 
 from __future__ import annotations
 
