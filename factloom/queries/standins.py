@@ -50,7 +50,7 @@ FACTS = {
     "imports": f"""
         SELECT DISTINCT 'f' || (l_orderkey % {_FILES}) AS file,
                CASE WHEN l_linestatus = 'F' AND l_linenumber < 3 THEN 'dev.p' || (l_suppkey % 50 + 1) || '.*' ELSE 'dev.p' || (l_suppkey % 50 + 1) || '.N' || (l_partkey % {_USED_NAMES}) END AS import
-        FROM lineitem WHERE l_linenumber < 4""",
+        FROM lineitem""",
     "modules": """
         SELECT ':m' || s_suppkey AS path, 'src/m' || s_suppkey AS dir, r_name AS layer, s_acctbal < 1000 AS is_published
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",

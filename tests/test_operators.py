@@ -250,3 +250,12 @@ def test_names_and_files_grow_with_the_tables(spark):
 
     assert counts(2000, 15000) == [700, 300, 100, 650, 300]
     assert counts(4000, 30000) == [1400, 600, 200, 1300, 600]
+
+
+def test_every_lineitem_gives_an_import(spark):
+    from factloom.queries.standins import fact
+    from tests.compare import SMALL
+
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    late = {(f"f{r.l_orderkey % 300}", f"dev.p{r.l_suppkey % 50 + 1}.N{r.l_partkey % 650}") for r in lines.where("l_linenumber >= 4").collect()}
+    assert late and late <= {(r.file, r[1]) for r in fact(spark, SMALL, "imports").collect()}
