@@ -20,10 +20,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    capture = ChangeCapture(spark, Scratch(spark, "capture").path("log"))
+    capture = ChangeCapture(spark, Scratch(spark, "capture").path("files"))
+    capture.ingest(table(spark, sf_dir, "file_entries"), LogColumns(key=plain_path(F.col("path")), version=F.nullif(F.lower("hash"), F.lit(""))))
+    # Runs that failed plan their batches too; the next one that succeeds replays these.
     capture.plan_runs(table(spark, sf_dir, "scan_runs"), ok=F.col("status") == "ok")
-    columns = LogColumns(key=plain_path(F.col("path")), version=F.nullif(F.lower("hash"), F.lit("")))
-    capture.execute(table(spark, sf_dir, "file_entries"), columns)
+    while capture.execute():
+        pass
     return capture.sink().select("run_id", F.col("key").alias("path"))
 
 
