@@ -1,8 +1,8 @@
 """Problem 4: what changed between consecutive full snapshots.
 
 Full outer join on the primary key of each snapshot with the next one,
-comparing hashes of the canonical rows. Both sides of the join are the same
-shuffled and de-duplicated table, so the rows move once.
+comparing hashes of the canonical rows. Both sides come from one shuffled and
+de-duplicated table, in which the later snapshot's rows stay where they are.
 """
 
 from __future__ import annotations
@@ -38,26 +38,20 @@ def diff_snapshots(
     its last delivery (ties: the greater hash). The first snapshot has no
     cases, and an empty or single snapshot gives no rows.
     """
-    spark = snapshots.sparkSession
-    # Lets both joins and aggregates reuse one partitioning by part of their keys.
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     names = list(key)
     order = snapshot_order(snapshots, snapshot, captured)
     rows = snapshots.select(F.col(snapshot).alias("_snap"), *[c.alias(k) for k, c in key.items()], F.col(delivered).alias("_delivered"), F.xxhash64(*compared).alias("_hash"))
     rows = rows.where(F.col("_snap").isNotNull())
     for k in names:
         rows = rows.where(F.col(k).isNotNull())
-    # Combined by snapshot and key before the shuffle: repeated deliveries meet here.
-    rows = rows.groupBy("_snap", *names).agg(F.max(F.struct("_delivered", "_hash"))["_hash"].alias("_hash"))
-    seqs = order.select(F.col(snapshot).alias("_snap"), "_seq", F.lead("_seq").over(Window.orderBy("_seq")).alias("_next"), F.lead(snapshot).over(Window.orderBy("_seq")).alias("_next_snap"))
-    # At most one row per snapshot, so the broadcast is as small as their number.
-    placed = rows.join(F.broadcast(seqs), "_snap").repartition(*names)
-    before = placed.where(F.col("_next").isNotNull()).select(*names, F.col("_next").alias("_seq"), F.col("_next_snap").alias("_to"), F.col("_hash").alias("_old"))
-    after = placed.where(F.col("_seq") > 1).select(*names, "_seq", F.col("_snap").alias("_to"), F.col("_hash").alias("_new"))
-    joined = before.alias("b").join(after.alias("a"), [*names, "_seq"], "full_outer")
+    # Combined by key and snapshot before the shuffle: repeated deliveries meet
+    # here. The join is on the same columns in the same order, so the later
+    # side lies where it is and only the earlier one moves again.
+    rows = rows.groupBy(*names, "_snap").agg(F.max(F.struct("_delivered", "_hash"))["_hash"].alias("_hash"))
+    steps = order.select(F.col(snapshot).alias("_snap"), F.lead(snapshot).over(Window.orderBy("_seq")).alias("_next"), (F.col("_seq") == 1).alias("_first"))
+    # One row per snapshot, so the broadcasts are as small as their number.
+    before = rows.join(F.broadcast(steps.where(F.col("_next").isNotNull()).select("_snap", "_next")), "_snap").select(*names, F.col("_next").alias("_to"), F.col("_hash").alias("_old"))
+    after = rows.join(F.broadcast(steps.where(~F.col("_first")).select("_snap")), "_snap").select(*names, F.col("_snap").alias("_to"), F.col("_hash").alias("_new"))
+    joined = before.alias("b").join(after.alias("a"), [*names, "_to"], "full_outer")
     change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "changed")
-    return (
-        joined.withColumn("change", change)
-        .where(F.col("change").isNotNull())
-        .select(F.coalesce(F.col("a._to"), F.col("b._to")).alias(snapshot), "change", *names)
-    )
+    return joined.withColumn("change", change).where(F.col("change").isNotNull()).select(F.col("_to").alias(snapshot), "change", *names)
