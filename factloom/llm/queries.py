@@ -10,7 +10,7 @@ from factloom.llm.encoding import encode_texts
 from factloom.llm.mixing import mix
 from factloom.llm.spam_pages import spam_pages
 from factloom.llm.term_stats import term_frequencies
-from factloom.operators.nested import COMPILER_FACTS, Entity, emit_tagged, newest_payload
+from factloom.operators.nested import COMPILER_FACTS, Entity, NestedTables
 from factloom.session import table
 
 _DIAGNOSTICS = Entity("file", "files", "package", keyed=True, children=tuple(c for c in COMPILER_FACTS.children if c.tag == "diagnostic"))
@@ -23,8 +23,7 @@ def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = plain_path(F.col("file"))
     once = findings.select(file.alias("record"), "rule", "rule_set", *whole).where(F.col("record") != "").distinct()
     of_findings = once.select("record", F.inline(F.array(F.struct(F.lit("rule").alias("field"), F.col("rule").alias("term")), F.struct(F.lit("ruleSet").alias("field"), F.col("rule_set").alias("term")))))
-    payloads = newest_payload(table(spark, sf_dir, "oracle"), "oracle_id", "payload", "received_at")
-    diagnostics = emit_tagged(payloads, _DIAGNOSTICS, with_payload=False).where(F.col("tag") == "diagnostic")
+    diagnostics = NestedTables(table(spark, sf_dir, "oracle"), "oracle_id", "payload", "received_at", _DIAGNOSTICS, with_payload=False).links().where("entity = 'diagnostic'")
     of_payloads = diagnostics.select(F.lit("factoryName").alias("field"), F.col("name").alias("term"), F.concat_ws("\0", F.coalesce(F.col("record_id").cast("string"), F.lit("")), "unit").alias("record"))
     return of_findings.select("field", "term", "record").unionByName(of_payloads)
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import term_stats as T
+from factloom.scratch import Scratch
 
 pytest.importorskip("duckdb")
 SCHEMA = "field string, term string, record string, n string, path string"
@@ -36,9 +37,28 @@ def test_counts_marks_and_dirt(spark, rows):
     assert rows(T.term_frequencies(frame(spark, data))) == brute(data)
 
 
-def test_oversized_partitions_are_split_by_term_then_by_record(spark, rows):
-    data = [("a", "hot", f"r{i}") for i in range(400)] + [("a", f"t{i % 97}", f"r{i % 50}") for i in range(500)]
-    assert rows(T.term_frequencies(frame(spark, data), rows=20)) == brute(data)
+HOT = [("a", "hot", f"r{i}") for i in range(60)] + [("a", f"t{i % 17}", f"r{i % 20}") for i in range(80)]
+
+
+@pytest.mark.parametrize("bounds", [{"rows": 10}, {"size": 400}])
+def test_oversized_partitions_are_split_by_term_then_by_record(spark, rows, bounds):
+    assert rows(T.term_frequencies(frame(spark, HOT), **bounds)) == brute(HOT)
+
+
+def test_leaves_fit_and_are_spread_over_tasks(spark):
+    pairs = frame(spark, HOT).groupBy("field", "term", "record").agg(F.count("*").alias("n"))
+    first, spilled = T._spill(pairs, Scratch(spark, "test"), 10, T.BYTES)
+    leaves = None
+    for folder, paths in spilled:
+        named = paths.select(F.lit(folder).alias("folder"), "path", "rows")
+        leaves = named if leaves is None else leaves.unionByName(named)
+    found = leaves.collect()
+    assert max(r.rows for r in found) <= 10 and sum(r.rows for r in found) == pairs.count() == first.count()
+    # By the term twice, then by the record.
+    assert max(r.path.count("-") for r in found) >= 2
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    tasks = {r[0] for r in T._aggregate(leaves, 10).select(F.spark_partition_id()).distinct().collect()}
+    assert len(tasks) > spark.sparkContext.defaultParallelism
 
 
 def test_one_pair_only_and_empty(spark, rows):
