@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions import scalars as S
 from factloom.operators import graph as G
 from factloom.operators import resolution as X
-from factloom.operators.nested import NestedTables, newest_payload
+from factloom.operators.nested import NestedTables
 from factloom.queries.problems import _level
 from factloom.queries.standins import fact, with_facts
 from factloom.session import table
@@ -145,7 +145,7 @@ _FACTS = "WITH " + ", ".join([
 
 
 def _tables(spark, sf_dir):
-    return NestedTables(newest_payload(table(spark, sf_dir, "oracle"), "oracle_id", "payload", "received_at"))
+    return NestedTables(table(spark, sf_dir, "oracle"), "oracle_id", "payload", "received_at")
 
 
 def p1_declarations(spark, sf_dir):

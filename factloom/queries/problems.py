@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from factloom.functions.paths import plain_path
 from factloom.operators.change_capture import ChangeCapture, LogColumns
 from factloom.operators.hierarchy import distinct_links, hierarchies
-from factloom.operators.nested import NestedTables, newest_payload
+from factloom.operators.nested import NestedTables
 from factloom.operators.snapshot_diff import diff_snapshots
 from factloom.scratch import Scratch
 from factloom.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = NestedTables(newest_payload(table(spark, sf_dir, "oracle"), "oracle_id", "payload", "received_at"))
+    tables = NestedTables(table(spark, sf_dir, "oracle"), "oracle_id", "payload", "received_at")
     return tables.links().select(F.col("record_id").alias("oracle_id"), F.col("unit").alias("file"), "entity", "path", "parent_path", "name")
 
 
