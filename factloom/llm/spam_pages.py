@@ -1,12 +1,13 @@
 """Problem 8: keyword-stuffed and link-list pages.
 
-Every line of a page is reduced to a shape: what it consists of (sentences,
-code or data, listed phrases, hash tags, links, stuffed runs), how many words
-and separated parts it has, how it is capitalised and which sign separates its
-parts. The lines of a page are grouped by shape; a page is flagged if shapes
-that are neither sentences nor code nor data hold the greater part of it and
-their phrases come again and again, as no table of contents or list of names
-would.
+Every line of a page is reduced to a shape: classes of how many words and
+separated parts it has, how it is capitalised, which sign separates its parts
+and how many links it holds, and whether it is sentences, data (code, logs,
+configuration), or neither. The lines of a page are grouped by shape. Of the
+shapes that are neither sentences nor data those count whose words come again
+and again, as no table of contents or list of names does, or that are links,
+tags or goods. A page is flagged if few of these shapes hold the greater part
+of it.
 
 No word list decides: the same shapes arise in any language. One pass over
 each text, no shuffle, whole texts.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,20 +27,28 @@ from pyspark.sql import DataFrame
 SHARE = 0.5
 #: A page must have this many listed parts or words of stuffed text in all.
 PARTS = 12
-#: Of a page's listed words, so many may be distinct unless it is links, tags or goods.
+#: Of a shape's words, so many may be new on the page unless it is links, tags or goods.
 DISTINCT = 0.6
+#: k shapes are few if they have at least this times k * k items: each comes about as often as there are shapes.
+SPREAD = 1.0
 
 _LINK = re.compile(r"(?:https?://|www\.)[^\s)\]>\"',|]+", re.I)
-_HOST = re.compile(r"(?<![\w./@:-])[a-z0-9]+(?:-[a-z0-9]+)*(?:\.[a-z0-9]+(?:-[a-z0-9]+)*)*\.[a-z]{2,}(?:/[^\s)\]>\"',|]*)?(?![\w:(/.])", re.I)
-_ANCHOR = re.compile(r"!?\[([^\]\n]{0,200})\]\((?:https?://|www\.)?[^)\s]*\)|<a\s[^>]*>([^<]{0,200})</a>", re.I)
+#: A host without scheme; its last part is in one case, as that of a qualified name seldom is.
+_HOST = re.compile(r"(?<![\w./@:-])[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*(?:\.[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*)*\.(?:[a-z]{2,10}|[A-Z]{2,10})(?:/[^\s)\]>\"',|]*)?(?![\w:(/.])")
+_ANCHOR = re.compile(r"!?\[([^\[\]\n]*)\]\((?:https?://|www\.)?[^()\s]*\)|<a\s[^<>]*>([^<]*)</a>", re.I)
 _LEAD = re.compile(r"^(?:\s|[*\-+>»•·/–—]|#+\s|\(?\d{1,4}[.)]\s)+")
 # HTML elements that carry text; other element names are data.
-_HTML = re.compile(r"</?(?:title|h[1-6]|p|div|span|li|ul|ol|b|i|u|em|strong|font|center|small|td|tr|th|table|br|hr|a|nav|footer|header|body|head|html|noscript|marquee|label|img|meta)\b[^>]*>", re.I)
-_META = re.compile(r"<meta\b[^>]*?content\s*=\s*[\"']([^\"'>]*)[\"']?[^>]*>", re.I)
-_CODE = re.compile(r"[{}=<>\\`]|;\s*$|\w\(|\)\.|::|->|\"\s*:|:\d+:|^\s*(?i:at\s\w+\.|(?:import|package)\s)|^\s*@\w+|\[[\w-]+\]\s*$|\d:\d\d|\b(?:DEBUG|INFO|WARN|ERROR|TRACE)\b|^\s*[\w.-]+:\s?\S+$|^\s*-\s*[\w-]+:")
+_HTML = re.compile(r"</?(?:title|h[1-6]|p|div|span|li|ul|ol|b|i|u|em|strong|font|center|small|td|tr|th|table|br|hr|a|nav|footer|header|body|head|html|noscript|marquee|label|img|meta)\b[^<>]*>", re.I)
+_META = re.compile(r"<meta\b[^<>]*?content\s*=\s*[\"']([^\"'<>]*)[\"']?[^<>]*>", re.I)
+_CODE = re.compile(r"[{}=<>\\`]|;\s*$|\w\(|\)\.|::|->|\"\s*:|:\d+:|^\s*@\w+|\[[\w-]+\]\s*$|\d:\d\d|^\s*[\w.-]+:\s?\S+$|^\s*-\s*[\w-]+:")
+#: A word that people don't write: with signs inside it, or brackets around it.
+_MARKED = re.compile(r"^[^#]*[\w$)][.:/\\@=$][\w$]|^[\[({<]|^\d{4,}\w|^\d{5,}$|^\S+:$")
 _STOP = re.compile(r"[.!?:](?=[\s\"')\]]|$)|[。！？।॥؟۔։።]|[.!?][\"')]")
 _SEPARATOR = re.compile(r"\s*(?:[,;|•·~★☆✅✓✔»›¦、，；｜／]+|!{2,}|\.{3,}|…|\s[/*+–—-]\s|​|\t| {2,})\s*")
 _WORD = re.compile(r"\w+(?:['’]\w+)?")
+#: Kinds that are no sentences and no data: those whose items are written words, and those that are lists by their make.
+_WORDED, _LISTED = {"list", "stuff", "short", "goods"}, {"links", "tags", "goods"}
+_SPAM = _WORDED | _LISTED
 #: Signs around a word that aren't part of it.
 _EDGES = ".,;:!?()[]\"'“”‘’。！？、，।॥"
 _TAGGED = re.compile(r"(?:^|\s)#\w")
@@ -76,10 +86,19 @@ def _stuffed(words: list[str], n: int) -> bool:
     return long >= 3 and (long >= 0.17 * n or again >= 0.34 * n)
 
 
+def _marked(line: str) -> bool:
+    """Whether more than a fourth of a line's words are names, paths, numbers in brackets and the like, and no hosts or prices."""
+    words = line.split()
+    marked = sum(1 for w in words if _MARKED.search(w) and not _HOST.fullmatch(w) and not _MONEY.search(w))
+    return 4 * marked > len(words)
+
+
 def line_shape(line: str) -> tuple[str, tuple, list[str]]:
     """(kind, shape, phrases) of a line that isn't blank.
 
-    Links without text and further parts of product lines are empty phrases.
+    A shape is made of classes of the numbers of words, parts and links, of
+    capitals and of the separating sign. Links without text and further parts
+    of product lines are empty phrases.
 
     Kinds: ``text`` (sentences), ``data`` (code, logs, configuration, tables),
     ``short`` (a lone phrase: a title, or one entry of a list), ``list``
@@ -87,6 +106,13 @@ def line_shape(line: str) -> tuple[str, tuple, list[str]]:
     (product lines with numbers and prices) and ``stuff`` (a run of words
     without sentences, or sentences of one phrase).
     """
+    found = _shape(line)
+    if found[0] in _WORDED and "://" not in line and _marked(line):
+        return "data", ("data",), []
+    return found
+
+
+def _shape(line: str) -> tuple[str, tuple, list[str]]:
     linked = "](" in line or "://" in line or "www." in line or "WWW." in line
     if "<" in line and _HTML.search(line):
         body = _META.sub(r" \1 ", line)
@@ -138,14 +164,13 @@ def line_shape(line: str) -> tuple[str, tuple, list[str]]:
         return ("short", ("short", total, _caps(rest)), [rest.lower().strip()])
     plain = [w for x in rest.lower().split() if (w := x.strip(_EDGES))]
     stops = len(_STOP.findall(rest))
-    if total > 20 and total > 60 * max(stops, 0.34) and len(set(plain)) < 0.6 * len(plain):
+    if total > 20 and total > 60 * max(stops, 0.34):
         return "stuff", ("stuff", "run", _caps(rest)), [" ".join(p) for p in zip(plain, plain[1:])]
     if _stuffed(plain, max(total, len(plain))):
         return "stuff", ("stuff", "said", _bucket(total)), [" ".join(p) for p in zip(plain, plain[1:])]
     return "text", ("text",), []
 
 
-_SPAM = {"list", "tags", "links", "goods", "stuff", "short"}
 _BREAK = re.compile(r"\r\n|[\n\r  \x0b\x0c\x85]")
 _PAINT = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
 _SENTENCE = re.compile(r"(?<=[.!?。！？।॥؟۔։።])\s+")
@@ -162,47 +187,69 @@ def _units(text: str) -> Iterator[str]:
             yield line
 
 
-def page_profile(text: str | None) -> dict | None:
-    """Characters by kind, shapes by kind and repetition of one page; None for no text."""
-    if not text or text.isspace():
-        return None
-    chars: Counter = Counter()
-    shapes: Counter = Counter()
-    phrases: Counter = Counter()
-    for line in _units(text):
-        kind, shape, said = line_shape(line)
-        n = len(line.strip())
-        if not n:
-            continue
-        chars[kind] += n
-        shapes[shape] += n
-        if kind in _SPAM:
-            phrases.update(said)
-    return {"chars": chars, "shapes": shapes, "phrases": phrases}
+@dataclass
+class Group:
+    """The lines of one shape on a page."""
 
+    kind: str
+    chars: int = 0
+    items: int = 0
+    words: Counter = field(default_factory=Counter)
 
-def is_spam(text: str | None, share: float = SHARE, parts: int = PARTS) -> bool:
-    page = page_profile(text)
-    if page is None:
-        return False
-    chars, phrases = page["chars"], page["phrases"]
-    whole = sum(chars.values())
-    spam = sum(n for kind, n in chars.items() if kind in _SPAM)
-    if spam <= share * whole:
+
+def shape_groups(text: str | None, share: float = 0.0) -> dict[tuple, Group]:
+    """The page's lines grouped by shape; empty for no text.
+
+    Empty too once sentences and data hold so much of the page that no more
+    than ``share`` is left for the others: then the rest needn't be looked at.
+    """
+    units = [(line, n) for line in _units(text or "") if (n := len(line.strip()))]
+    left = (1 - share) * sum(n for _, n in units)
+    groups: dict[tuple, Group] = {}
+    for line, n in units:
+        kind, shape, said = line_shape(line)
+        group = groups.get(shape)
+        if group is None:
+            group = groups[shape] = Group(kind)
+        group.chars += n
+        if kind in _SPAM:
+            group.items += len(said)
+            for phrase in said:
+                group.words.update(phrase.split())
+        else:
+            left -= n
+            if left <= 0 < share:
+                return {}
+    return groups
+
+
+def is_spam(text: str | None, share: float = SHARE, parts: int = PARTS, distinct: float = DISTINCT, spread: float = SPREAD) -> bool:
+    """Whether few shapes without sentences or data hold more than ``share`` of a page.
+
+    Only shapes count that are links, tags or goods, or whose words come again
+    on the page: each occurrence of a word counts as its share of all of them,
+    and these must not add up to more than ``distinct`` of the shape's words.
+    The largest k of these shapes that hold the share are few if they have
+    ``spread`` * k * k items. All of them together must have ``parts`` items.
+    """
+    groups = shape_groups(text, share)
+    share *= sum(g.chars for g in groups.values())
+    said = [g for g in groups.values() if g.kind in _SPAM]
+    if sum(g.chars for g in said) <= share:
         return False
-    said = sum(phrases.values())
-    if said < parts:
+    page: Counter = Counter()
+    for g in said:
+        page.update(g.words)
+    empty = [g for g in said if g.kind in _LISTED or sum(n / page[w] for w, n in g.words.items()) <= distinct * sum(g.words.values())]
+    if sum(g.items for g in empty) < parts:
         return False
-    listed = sum(chars[kind] for kind in ("links", "tags", "goods"))
-    if listed <= share * whole:
-        words = Counter()
-        for phrase, n in phrases.items():
-            for word in phrase.split():
-                words[word] += n
-        if len(words) > DISTINCT * sum(words.values()):
-            return False
-    few = sorted((n for s, n in page["shapes"].items() if s[0] in _SPAM), reverse=True)
-    return sum(few[:12]) > share * whole
+    held = items = 0
+    for k, g in enumerate(sorted(empty, key=lambda g: -g.chars), 1):
+        held += g.chars
+        items += g.items
+        if held > share:
+            return items >= spread * k * k
+    return False
 
 
 def spam_pages(df: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE, parts: int = PARTS) -> DataFrame:

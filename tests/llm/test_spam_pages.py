@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import time
+from collections import Counter
+
 import pytest
 
-from factloom.llm.spam_pages import is_spam, line_shape, spam_pages
+from factloom.llm.spam_pages import Group, is_spam, line_shape, shape_groups, spam_pages
 
 WORDS = ["blue pump", "cheap blue pump", "blue pump online", "pump coupon", "best blue pump", "pump near me"]
 PROSE = "The pump keeps a handle to the valve after the screen is gone, so nothing is freed. We moved it behind an interface last week. "
@@ -31,6 +34,8 @@ FINE = {
     "log": "\n".join(f"00077{i:04} INFO  [pool-{i % 4}] waiting for blue-pump" for i in range(60)),
     "report": "\n".join(f"core/src/main/Pump.kt:{i}:9: warning: 'pump' is written but never read [StalePump]" for i in range(40)),
     "imports": "\n".join(f"import dev.blue.pump.Pump{i}" for i in range(40)),
+    "imports in capitals": "\n".join(f"IMPORT DEV.BLUE.PUMP.VALVEHANDLER{'ABCDEFGHIJ'[i % 10]}" for i in range(40)),
+    "trace": "\n".join(f"\tat dev.blue.Pump{i}.open(Valve.kt:{i})" for i in range(40)),
     "config": "pump:\n" + "\n".join(f"  rule-{i}:\n    active: true\n    limit: {i}" for i in range(30)),
     "xml": "\n".join(f'<string name="pump_{i}">Blue pump</string>' for i in range(30)),
     "few words": "same here",
@@ -72,6 +77,32 @@ def test_hosts_in_long_lines_are_no_cases(text):
     assert not is_spam(text)
 
 
+def test_a_list_of_names_does_not_repeat_and_only_that_saves_it():
+    names = "\n".join(f"{a} {b}" for a, b in zip("Ada Bo Cy Di Ed Flo Gus Hal Ivy Jo Kit Lou Mo Nan Ole Pat".split(), "Ash Birch Cedar Dill Elm Fir Gum Hazel Iris Jute Kelp Lime Maple Nut Oak Pine".split()))
+    assert not is_spam(names) and is_spam(names, distinct=1.0)
+
+
+def test_many_shapes_with_few_items_each_are_no_case_and_only_that_saves_them():
+    # The same words in lines of ever other length and capitals, as in verse, menus and forms.
+    words = "pump valve".split()
+    lines = [f(" ".join((words * 4)[: n])) for n in (1, 2, 3, 4, 5, 6, 7) for f in (str.lower, str.upper, str.title)]
+    assert not is_spam("\n".join(lines)) and is_spam("\n".join(lines), spread=0)
+    assert is_spam("\n".join(lines * 8))
+
+
+@pytest.mark.parametrize("text", ["[" * 200_000, "<a " * 100_000, "[a](" * 60_000, "<a href>" * 40_000, '<meta content="' * 30_000])
+def test_broken_markup_takes_no_longer_than_its_length(text):
+    began = time.monotonic()
+    is_spam(text)
+    assert time.monotonic() - began < 5
+
+
+def test_anchor_texts_and_hosts_of_any_length():
+    long = "blue pump " * 40
+    assert line_shape(f"[{long}](https://a.example/x)")[0] == "links"
+    assert shape_groups("\n".join(["blue pump"] * 3)) == {("short", 2, "l"): Group("short", 27, 3, Counter(blue=3, pump=3))}
+
+
 def test_shapes_join_lines_of_one_make():
     a, b = (line_shape(f"{w} Kit | SKU {n} | $9.99 | NEW")[1] for w, n in (("Blue", 1), ("Green", 22)))
     assert a == b and a[0] == "goods"
