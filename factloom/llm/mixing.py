@@ -15,6 +15,7 @@ falls, one millionth of the rank scale, is ordered exactly.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,15 +41,15 @@ class Allocation:
     target: int
 
 
-def allocate(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> list[Allocation]:
+def allocate(sizes: DataFrame, targets: DataFrame, total: int | None = None, fill: float = 1.0) -> list[Allocation]:
     """Tokens that each source must give, one entry for each target.
 
     The targets are a control table; no more than one row for each of them
     comes to the driver. Repeated targets of a source count once, with the
     greater weight. Null or negative weights and repeats count as 0. Weights
     are shared among the sources that can give something. Without ``total``
-    the mix is the largest in which every one of these reaches its weight
-    within its repeats; with it, a source that cannot reach its weight gives
+    the mix is ``fill`` times the largest in which every one of these reaches
+    its weight within its repeats; with it, a source that cannot reach its weight gives
     all that it may.
     """
     wanted = targets.where(F.col("source").isNotNull()).groupBy("source").agg(
@@ -60,7 +61,7 @@ def allocate(sizes: DataFrame, targets: DataFrame, total: int | None = None) ->
     share = {r["source"]: r["weight"] for r in rows if r["source"] in able}
     whole = sum(share.values())
     if total is None:
-        total = min((able[s] * whole / w for s, w in share.items()), default=0)
+        total = fill * min((able[s] * whole / w for s, w in share.items()), default=0)
     goal = {s: min(able[s], total * w / whole) for s, w in share.items()}
     return [Allocation(r["source"], r["weight"], r["max_repeats"], r["documents"], r["tokens"], round(goal.get(r["source"], 0))) for r in rows]
 
@@ -93,27 +94,56 @@ def _scales(sized: DataFrame, plan: list[Allocation], uneven: bool) -> dict[str,
     """For each source the factor from a document's importance to its expected uses.
 
     With uneven importances some documents reach their repeats, and the factor
-    rises for the others; each round is one aggregate with a row per source.
+    is greater for the others. A document is full from the factor at which its
+    importance alone gives all its repeats; between two such factors the
+    expected tokens grow in a line. The stretch in which they reach the target
+    is found by histograms of these factors' logarithms, each a thousandth as
+    wide as the one before, until it holds a single one: as often as a double
+    has digits for, whatever the documents. An aggregate with a row for each
+    source comes to the driver in each round.
     """
-    scale = {a.source: a.target / a.tokens for a in plan if a.target}
-    if not uneven or not scale:
-        return scale
-    most = {a.source: a.max_repeats for a in plan}
-    target = {a.source: a.target for a in plan}
-    scale = dict.fromkeys(scale, 0.0)
-    for _ in range(60):
-        now = F.broadcast(sized.sparkSession.createDataFrame([(s, float(k), most[s]) for s, k in scale.items()], "source string, scale double, most int"))
-        full = F.col("scale") * F.col("importance") >= F.col("most")
-        sums = sized.join(now, "source").groupBy("source").agg(F.sum(F.when(full, F.col("most") * F.col("tokens")).otherwise(0)).alias("full"), F.sum(F.when(~full, F.col("importance") * F.col("tokens")).otherwise(0.0)).alias("part")).collect()
-        fresh = {r["source"]: max(scale[r["source"]], (target[r["source"]] - r["full"]) / r["part"]) if r["part"] > 0 else scale[r["source"]] for r in sums}
-        done = all(abs(fresh[s] - scale[s]) <= 1e-9 * fresh[s] for s in fresh)
-        scale = fresh
-        if done:
-            break
+    even = {a.source: a.target / a.tokens for a in plan if a.target}
+    if not uneven or not even:
+        return even
+    spark = sized.sparkSession
+    goal = {a.source: (a.max_repeats, a.target) for a in plan if a.target}
+    full = F.log(F.col("most") / F.col("importance"))
+    kept = sized.join(F.broadcast(spark.createDataFrame([(s, m, t) for s, (m, t) in goal.items()], "source string, most int, target bigint")), "source").withColumn("at", full)
+    edges = {r["source"]: (r["lo"], r["hi"]) for r in kept.groupBy("source").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).collect()}
+    # Of the documents below the stretch: their tokens times repeats; of those above it: importance times tokens.
+    done, scale = {s: (0.0, 0.0) for s in edges}, {}
+    while edges:
+        now = F.broadcast(spark.createDataFrame([(s, float(lo), float(hi), *map(float, done[s])) for s, (lo, hi) in edges.items()], "source string, lo double, hi double, filled double, above double"))
+        inside = kept.join(now, "source").where((F.col("at") >= F.col("lo")) & (F.col("at") <= F.col("hi")))
+        bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("at") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))).otherwise(F.lit(0))
+        bins = inside.groupBy("source", bin_.alias("b")).agg(
+            F.min("at").alias("first"), F.max("at").alias("last"), F.sum(F.col("most") * F.col("tokens").cast("double")).alias("fill"), F.sum(F.col("importance") * F.col("tokens")).alias("part"),
+            F.max("target").alias("target"), F.max("filled").alias("filled"), F.max("above").alias("above"),
+        )
+        in_order = Window.partitionBy("source").orderBy("b")
+        sums = bins.withColumns({
+            "filled": F.col("filled") + F.coalesce(F.sum("fill").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
+            "above": F.col("above") + F.coalesce(F.sum("part").over(in_order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)),
+        })
+        # The first bin at whose end the target is reached; the last one where rounding lets none reach it.
+        reach = F.col("filled") + F.col("fill") + F.exp("last") * F.col("above") >= F.col("target")
+        named = F.struct("b", "first", "last", "filled", "above", "fill", "part", "target")
+        for r in sums.groupBy("source").agg(F.coalesce(F.min(F.when(reach, named)), F.max(named)).alias("x")).select("source", "x.*").collect():
+            s, wide = r["source"], r["last"] > r["first"]
+            if wide and (r["first"], r["last"]) != edges[s]:
+                edges[s], done[s] = (r["first"], r["last"]), (r["filled"], r["above"])
+                continue
+            if wide:
+                # No narrower: the logarithms are as close as doubles can be.
+                edges[s], done[s] = (r["first"], r["first"]), (r["filled"], r["above"])
+            # Between the factor before this one and this one nothing is full but what is below.
+            growing = r["part"] + r["above"]
+            scale[s] = min(max((r["target"] - r["filled"]) / growing, 0.0), math.exp(r["last"])) if growing > 0 else math.exp(r["last"])
+            del edges[s]
     return scale
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, vocabulary: str | None = None, importance: str | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, vocabulary: str | None = None, importance: str | None = None, fill: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """The mix (doc_id, source, tokens, copies) and its shares.
 
     Shares: (source, weight, max_repeats, documents, available_tokens,
@@ -136,7 +166,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     counted = count_tokens(kept.where((F.col("importance") > 0) & ~F.isnan("importance")), ["doc_id", "source", "importance"], vocabulary=vocabulary)
     sized = scratch.save(counted.groupBy("doc_id").agg(F.max(F.struct("source", "tokens", "importance")).alias("x")).select("doc_id", "x.*").where("tokens > 0"), "sized")
     sizes = sized.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").cast("double").alias("tokens"))
-    plan = allocate(sizes, targets, total)
+    plan = allocate(sizes, targets, total, fill)
     scale = _scales(sized, plan, importance is not None)
 
     # One row for each target source, as allocate() has it.
@@ -148,23 +178,24 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     rest = F.broadcast(used.groupBy("source").agg((F.max("target") - F.sum(F.col("base") * F.col("tokens"))).alias("rest")).where("rest > 0"))
     ranked = used.where("base < most").join(rest, "source")
     coarse, fine = F.floor(F.col("rank") * BINS).cast("int"), F.floor(F.col("rank") * BINS * BINS).cast("int")
-    # Both results have a row for each source at most.
+    # All of these have a row for each source at most.
     first = F.broadcast(_cut(ranked, ["source"], "b1", F.col("rest"), "tokens", coarse))
     inside = ranked.join(first, "source").where(coarse == F.col("b1"))
     second = F.broadcast(_cut(inside, ["source"], "b2", F.col("open"), "tokens", fine))
-    cut = ranked.join(second, "source", "left")
-    # Where the tokens of all candidates do not reach the limit, there is no cut and all are taken.
-    sure = cut.where(F.col("b2").isNull() | (fine < F.col("b2"))).select("doc_id")
-    last = cut.where(fine == F.col("b2"))
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = ranked.join(second, "source").where(fine == F.col("b2")).withColumn("_before", before)
     # The document that passes the limit is taken if that comes nearer to it.
-    edge = last.withColumn("_before", before).where(2 * (F.col("open") - F.col("_before")) > F.col("tokens")).select("doc_id")
+    taken = edge.where(2 * (F.col("open") - F.col("_before")) > F.col("tokens")).groupBy("source").agg(F.max(F.struct("rank", "doc_id")).alias("upto"))
+    cut = F.broadcast(second.join(taken, "source", "left").select("source", "b2", "upto"))
+    # Where the tokens of all candidates do not reach the limit, there is no cut and all are taken.
+    wanted = F.col("b2").isNull() | (fine < F.col("b2")) | F.coalesce((fine == F.col("b2")) & (F.struct("rank", "doc_id") <= F.col("upto")), F.lit(False))
+    extra = F.when((F.col("base") < F.col("most")) & F.col("rest").isNotNull() & wanted, 1).otherwise(0)
     mixed = (
-        used.join(sure.unionByName(edge).withColumn("extra", F.lit(1)), "doc_id", "left")
-        .withColumn("copies", F.col("base") + F.coalesce("extra", F.lit(0)))
+        used.join(rest, "source", "left").join(cut, "source", "left")
+        .withColumn("copies", F.col("base") + extra)
         .where("copies > 0")
         .select("doc_id", "source", "tokens", "copies")
-    )
+    )
     mixed = scratch.save(mixed, "mixed")
     given_out = mixed.groupBy("source").agg(F.count("*").alias("used_documents"), F.sum(F.col("tokens") * F.col("copies")).alias("mix_tokens"), F.max("copies").alias("most_copies"))
     goals = spark.createDataFrame([(a.source, a.weight, a.max_repeats, a.documents, int(a.tokens), a.target) for a in plan], "source string, weight double, max_repeats int, documents bigint, available_tokens bigint, target_tokens bigint")

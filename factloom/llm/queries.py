@@ -48,11 +48,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p7_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix in which longer documents of a source are used more, by the logarithm of their length, half as large as it could be."""
+    documents = table(spark, sf_dir, "documents").withColumn("importance", F.log2(F.length("text") + 1.0))
+    return mix(documents, table(spark, sf_dir, "mix_targets"), fill=0.5, importance="importance")[0]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_pages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_terms": p2_terms, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_terms": p2_terms, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_weighted": p7_weighted, "p8_found": p8_found}
 SQL: dict[str, str] = {}
 
 _PLAIN = "regexp_replace(replace(file, chr(92), '/'), '^[.]/', '')"

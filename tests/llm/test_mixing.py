@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import random
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from factloom.llm.mixing import mix, pareto_order
+from factloom.llm.mixing import Allocation, _scales, mix, pareto_order
+from tests.compare import SMALL
 
 TARGETS = "source string, weight double, max_repeats int"
 
@@ -70,6 +74,37 @@ def test_importance_makes_inclusion_unequal_and_repeats_cap_it(spark):
     assert 2 not in uses and uses[0] > 3 * uses[1]
 
 
+def test_the_scale_is_exact_for_importances_of_any_spread(spark):
+    rnd = random.Random(5)
+    for values in ([10.0 ** rnd.uniform(-200, 200) for _ in range(300)], [1.0 + i * 2.0**-52 for i in range(300)], [2.0**-i for i in range(300)], [3.0] * 300):
+        data = [(i, "a", rnd.randint(1, 50), v) for i, v in enumerate(values)]
+        sized = spark.createDataFrame(data, "doc_id bigint, source string, tokens bigint, importance double")
+        tokens = sum(d[2] for d in data)
+        for share in (0.001, 0.5, 0.97, 1.0):
+            target = round(share * 3 * tokens)
+            scale = _scales(sized, [Allocation("a", 1.0, 3, 300, tokens, target)], True)["a"]
+            assert sum(t * min(3.0, scale * v) for _, _, t, v in data) == pytest.approx(target, rel=1e-6)
+
+
+def test_shares_and_mix_agree_on_the_whole_tables(spark):
+    if not Path(SMALL).exists():
+        pytest.skip("needs the test tables")
+    targets = {r.source: r for r in spark.read.parquet(f"{SMALL}/mix_targets.parquet").collect()}
+    longest = dict(spark.read.parquet(f"{SMALL}/documents.parquet").groupBy("source").agg(F.max("n_chars")).collect())
+    for kw in ({}, {"fill": 0.5, "importance": "n_chars"}):
+        mixed, shares = mix(spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/mix_targets.parquet"), **kw)
+        got, by = mixed.collect(), {r.source: r for r in shares.collect()}
+        assert set(by) == set(targets) and sum(r.share for r in by.values()) == pytest.approx(1.0)
+        assert all(1 <= r.copies <= targets[r.source].max_repeats for r in got)
+        able = sum(targets[s].weight for s, r in by.items() if r.target_tokens)
+        for s, r in by.items():
+            assert r.mix_tokens == sum(x.tokens * x.copies for x in got if x.source == s)
+            # Half the tokens of the document at the edge, which are no more than its bytes.
+            assert abs(r.mix_tokens - r.target_tokens) <= 2 * longest.get(s, 0)
+            if r.target_tokens:
+                assert r.target_tokens == pytest.approx(targets[s].weight / able * sum(x.target_tokens for x in by.values()), abs=2)
+
+
 def test_the_same_seed_gives_the_same_mix(spark, rows):
     d = corpus(spark, {"a": 200})
     targets = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
