@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,8 +23,24 @@ DECISION = r"\b(if|when|for|while|catch)\b|&&|\|\||\?:"
 DENSITIES = {"ldpi": 0.75, "mdpi": 1.0, "hdpi": 1.5, "xhdpi": 2.0, "xxhdpi": 3.0, "xxxhdpi": 4.0}
 # Path parts that hold deliberately broken sources.
 TEST_DATA_DIRS = ["/test/data/", "/testData/", "/testdata/", "/test-data/", "/compiler-tests/", "/compilerTests/"]
-# Cost, effort and precision labels from the least on.
-LABELS = {"cost": ["free", "cheap", "moderate", "expensive"], "effort": ["trivial", "small", "medium", "large"], "precision": ["heuristic", "syntactic", "typed", "whole-program"]}
+# Cost, effort and precision labels from the least on; a label's rank counts from 1.
+LABELS = {
+    "cost": ["trivial", "line", "ast", "crossfile", "oracle", "fir"],
+    "effort": ["trivial", "local", "refactor", "architectural"],
+    "precision": ["heuristic/text-backed", "ast-backed", "project-structure-aware", "type-aware", "policy"],
+}
+# Presets that stand for a cost.
+COST_PRESETS = {"fast": "ast", "balanced": "crossfile", "thorough": "fir", "all": "fir"}
+# Parts of paths that hold tests.
+TEST_PATHS = [
+    "/test/", "/androidTest/", "/commonTest/", "/jvmTest/", "/jvmAndroidTest/", "/commonJvmTest/", "/browserCommonTest/", "/jvmCommonTest/",
+    "/androidUnitTest/", "/androidInstrumentedTest/", "/jsTest/", "/iosTest/", "/nativeTest/", "/nonJvmCommonTest/", "/testShared/", "/sharedTest/",
+    "/benchmark/", "/canary/", "/test-utils/", "/javatests/", "/kotlintests/", "/javatest/", "/kotlintest/", "/functionalTest/", "/functionaltests/",
+    "/test/resources/", "/testResources/", "/testFixtures/", "/integration-tests/", "/integrationTest/", "/nonEmulatorCommonTest/", "/nonEmulatorJvmTest/",
+    "/testData/", "/testdata/", "/test-data/", "/test/data/", "/compiler-tests/", "/compilertests/",
+]
+#: White space as a class for both regular expression engines.
+SPACE = r"[\t-\r \x{85}\p{Z}]"
 
 
 def normalize_signature(text: Column) -> Column:
@@ -76,9 +95,17 @@ def prefix_locality(package: Column, caller_package: Column) -> Column:
     return F.when((package == "") | (caller_package == ""), 0.0).otherwise(shared / F.size(x))
 
 
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def finding_signature(line: Column) -> Column:
-    """A source line up to ``{``, then up to ``=``, trimmed."""
-    return F.regexp_replace(F.split_part(F.split_part(line, F.lit("{"), F.lit(1)), F.lit("="), F.lit(1)), r"^[ \t]+|[ \t]+$", "")
+    """A source line up to ``{``, then up to ``=``, unless it starts with it; trimmed."""
+    out = trimmed(line)
+    for sign in ("{", "="):
+        at = F.locate(sign, out)
+        out = F.when(at > 1, trimmed(F.substring(out, F.lit(1), at - 1))).otherwise(out)
+    return out
 
 
 def expected_package(path: Column) -> Column:
@@ -88,19 +115,18 @@ def expected_package(path: Column) -> Column:
 
 
 def has_token(text: Column, token: str) -> Column:
-    return text.rlike(rf"\b{re.escape(token)}\b")
+    """Whether a token stands in a text with no letter, digit or underscore of ASCII beside it; an empty one never does."""
+    return text.rlike(rf"(^|[^A-Za-z0-9_]){re.escape(token)}([^A-Za-z0-9_]|$)") if token else F.lit(False)
 
 
 def accessor_to_path(accessor: Column) -> Column:
-    """``projects.core.someThing`` to ``:core:some-thing``."""
-    dashed = F.lower(F.regexp_replace(F.regexp_replace(accessor, r"^projects\.", ""), r"([a-z0-9])([A-Z])", "$1-$2"))
-    return F.concat(F.lit(":"), F.translate(dashed, ".", ":"))
+    """``someThing`` to ``:some-thing``: a part for each capital but the first sign."""
+    return F.concat(F.lit(":"), F.lower(F.regexp_replace(accessor, r"(?<!^)(\p{Lu})", "-$1")))
 
 
 def accessor_property(name: Column) -> Column:
     """getFoo and setFoo to foo, isFoo stays; null for anything else."""
-    rest = F.substring(name, 4, 10_000)
-    bare = F.concat(F.lower(F.substring(rest, 1, 1)), F.substring(rest, 2, 10_000))
+    bare = F.concat(F.lower(F.substring(name, 4, 1)), F.substring(name, F.lit(5), F.length(name)))
     return F.when(name.rlike("^(get|set)[A-Z]"), bare).when(name.rlike("^is[A-Z]"), name)
 
 
@@ -142,8 +168,12 @@ def excluded(path: Column, globs: list[str]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def is_test_path(path: Column, parts: tuple[str, ...] = ("test", "tests", "androidTest", "testFixtures", "commonTest")) -> Column:
-    return F.coalesce(F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, parts))), F.lit(False))
+def is_test_path(path: Column, also: Iterable[str] = (), instead: Iterable[str] = ()) -> Column:
+    """Whether a path holds one of TEST_PATHS or of ``also``; of ``instead`` alone where it is given. Null never does."""
+    clean = lambda marks: [m for x in marks if (m := x.strip().replace("\\", "/"))]
+    marks = clean(instead) or [*TEST_PATHS, *clean(also)]
+    plain = F.translate(path, "\\", "/")
+    return F.coalesce(reduce(or_, (plain.contains(m) for m in marks)), F.lit(False))
 
 
 def redact_path(path: Column) -> Column:
@@ -152,13 +182,20 @@ def redact_path(path: Column) -> Column:
 
 
 def label_rank(kind: str, label: Column) -> Column:
-    """Rank of a cost, effort or precision label; null if unknown."""
-    return F.element_at(F.create_map(*[F.lit(x) for i, name in enumerate(LABELS[kind]) for x in (name, i)]), label)
+    """Rank of a cost, effort or precision label from 1 on; null if unknown.
+
+    Costs are read in any case and with hyphens, and presets stand for one.
+    """
+    ranks = {name: i for i, name in enumerate(LABELS[kind], 1)}
+    if kind == "cost":
+        ranks |= {preset: ranks[cost] for preset, cost in COST_PRESETS.items()}
+        label = F.translate(F.lower(label), "-_ ", "")
+    return F.element_at(F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair]), label)
 
 
 def parse_since(text: Column) -> Column:
-    """A date or an RFC 3339 time as timestamp; null for anything else."""
-    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
+    """A date or an RFC 3339 time, with or without a fraction of a second, as timestamp; null for anything else."""
+    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX")))
 
 
 def sarif_uri(path: Column) -> Column:
@@ -167,7 +204,8 @@ def sarif_uri(path: Column) -> Column:
 
 
 def density_factor(density: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for pair in DENSITIES.items() for x in pair]), density)
+    """The factor of an icon density, 0 for an unknown one."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in DENSITIES.items() for x in pair]), density), F.lit(0.0))
 
 
 def string_body(literal: Column) -> Column:

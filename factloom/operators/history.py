@@ -119,13 +119,64 @@ def delta_cosine(deltas: DataFrame, item: str, key: str, value: str, seeds: Data
     return scored.withColumn("_c", F.col("_dot") / (F.col("_n") * F.col("_m"))).where("_c > 0").groupBy(item).agg(F.max("_c").alias("score"))
 
 
+# How far a signal of each tier is trusted alone.
+PRIORS = {"stack": 0.95, "owner": 0.85, "diff": 0.60, "history": 0.50}
+
+
 def bisect_fusion(signals: DataFrame) -> DataFrame:
-    """(commit_sha, module, prior, tiers, confidence) of signals (…, tier, prior).
+    """(commit_sha, module, prior, tiers, confidence) of signals (commit_sha, module, tier), a tier being one of PRIORS.
+
+    confidence = min(1, p + (1 - p)(n - 1) / 3) for the greatest prior p and n distinct tiers; signals without a module are none.
+    """
+    prior = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in PRIORS.items() for x in p]), F.col("tier")), F.lit(0.0))
+    out = signals.where(F.col("module") != "").groupBy("commit_sha", "module").agg(F.max(prior).alias("prior"), F.countDistinct("tier").alias("tiers"))
+    return out.withColumn("confidence", F.least(F.lit(1.0), F.col("prior") + (1 - F.col("prior")) * (F.col("tiers") - 1) / (len(PRIORS) - 1)))
+
+
+# Where the tests of a module lie below its directory.
+TEST_SOURCES = ["/src/test/", "/src/androidTest/", "/src/integrationTest/"]
+
+
+def structural_bisect(events: DataFrame, symbols: DataFrame, files: DataFrame, modules: DataFrame, touched: DataFrame) -> DataFrame:
+    """(event_id, commit_sha, module, prior, tiers, confidence): where failures may come from, by four tiers of signals.
+
+    ``events`` has (event_id, commit_sha, failure_kind, signature, module,
+    file, frames), ``symbols`` (fqn, file, start_byte), ``files`` (path,
+    module), ``modules`` (path, dir), ``touched`` (commit_sha, module) the
+    modules that each snapshot of the range changed.
 
-    confidence = min(1, p + (1 - p)(n - 1) / 3) for the greatest prior p and n distinct tiers.
+    ``stack``: the module of the symbol that the first known frame names, by
+    its whole name, else by the longest dotted prefix that is one; a frame
+    without a dot may also be a symbol's last part. ``owner``: the module of
+    the failing test's file, else the one whose directory holds its tests.
+    ``diff``: modules touched at the event's snapshot. ``history``: modules of
+    other events of the same kind or signature. Events of one kind or signature
+    are counted by module first and meet those counts, not each other.
     """
-    out = signals.groupBy("commit_sha", "module").agg(F.max("prior").alias("prior"), F.countDistinct("tier").alias("tiers"))
-    return out.withColumn("confidence", F.least(F.lit(1.0), F.col("prior") + (1 - F.col("prior")) * (F.col("tiers") - 1) / 3))
+    one = symbols.where(F.col("fqn") != "").groupBy("fqn").agg(F.max(F.struct("file", "start_byte"))["file"].alias("path"))
+    last = one.groupBy(F.regexp_extract("fqn", r"([^.]*)$", 1).alias("fqn")).agg(F.max(F.struct("fqn", "path"))["path"].alias("path"))
+    frames = events.select("event_id", "commit_sha", F.posexplode("frames").alias("pos", "frame"))
+    parts = F.split(F.trim(F.split_part(F.trim("frame"), F.lit("("), F.lit(1))), "\\.")
+    steps = frames.withColumn("parts", parts).withColumn("k", F.explode(F.sequence(F.lit(0), F.size("parts") - 1))).withColumn("fqn", F.array_join(F.slice("parts", F.lit(1), F.size("parts") - F.col("k")), "."))
+    named = steps.join(one, "fqn").select("event_id", "commit_sha", "pos", "k", "path")
+    bare = steps.where(F.size("parts") == 1).join(last, "fqn").select("event_id", "commit_sha", "pos", F.lit(1).alias("k"), "path")
+    hit = named.unionByName(bare).groupBy("event_id", "commit_sha").agg(F.min(F.struct("pos", "k", "path"))["path"].alias("path"))
+    stack = hit.join(files, "path").select("event_id", "commit_sha", "module", F.lit("stack").alias("tier"))
+    below = F.coalesce(*[F.when(F.locate(m, F.col("file")) > 1, F.split_part("file", F.lit(m), F.lit(1))) for m in TEST_SOURCES])
+    homes = modules.groupBy(F.regexp_replace("dir", r"^\./", "").alias("dir")).agg(F.min("path").alias("home"))
+    # A directory or the end of one: every trailing part of the path is looked up.
+    ends = events.where(below.isNotNull()).select("event_id", F.split(below, "/").alias("d")).withColumn("n", F.explode(F.sequence(F.lit(1), F.size("d")))).withColumn("dir", F.array_join(F.slice("d", F.col("n"), F.size("d")), "/"))
+    guessed = ends.join(homes, "dir").groupBy("event_id").agg(F.min_by("home", "n").alias("home"))
+    owner = events.join(files.select(F.col("path").alias("file"), F.col("module").alias("own")), "file", "left").join(guessed, "event_id", "left").select("event_id", "commit_sha", F.coalesce(F.nullif("own", F.lit("")), "home").alias("module"), F.lit("owner").alias("tier"))
+    diff = events.select("event_id", "commit_sha").join(touched.select("commit_sha", "module").distinct(), "commit_sha").select("event_id", "commit_sha", "module", F.lit("diff").alias("tier"))
+    past = []
+    for by in ("failure_kind", "signature"):
+        known = events.where((F.col("module") != "") & (F.col(by) != "")).groupBy(by, "module").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"))
+        met = events.drop("module").join(known, by).where((F.col("a") != F.col("event_id")) | (F.col("b") != F.col("event_id")))
+        past.append(met.select("event_id", "commit_sha", "module", F.lit("history").alias("tier")))
+    signals = stack.unionByName(owner).unionByName(diff).unionByName(past[0]).unionByName(past[1])
+    keyed = signals.withColumn("commit_sha", F.struct("event_id", "commit_sha"))
+    return bisect_fusion(keyed).select("commit_sha.*", "module", "prior", "tiers", "confidence")
 
 
 def lower_percentile(rows: DataFrame, by: list[str], value: str, p: float) -> DataFrame:
@@ -163,10 +214,11 @@ def experiment_matrix(runs: DataFrame) -> DataFrame:
     return runs.groupBy("case", "target").agg(F.count("*").alias("runs"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), F.floor(F.sum("ms") / F.count("*")).alias("mean_ms"))
 
 
-def retention(snapshots: DataFrame, now: Column) -> DataFrame:
-    """(snapshot_id, keep): permanent ones stay; those of a ref go after 30 days, orphans after 7 (strictly more)."""
-    days = F.datediff(now, F.col("captured_at"))
-    keep = F.when(F.col("reach") == "permanent", True).when(F.col("reach") == "ref", days <= 30).otherwise(days <= 7)
+def retention(snapshots: DataFrame, now: Column, keep_ref: str = "30 days", keep_orphan: str = "7 days") -> DataFrame:
+    """(snapshot_id, keep): permanent ones stay; the others while their age, to the microsecond, isn't above what their reach allows."""
+    until = lambda keep: F.col("captured_at").cast("timestamp") + F.expr(f"INTERVAL {keep}")
+    at = now.cast("timestamp")
+    keep = F.when(F.col("reach") == "permanent", True).when(F.col("reach") == "ref", until(keep_ref) >= at).otherwise(until(keep_orphan) >= at)
     return snapshots.select("snapshot_id", keep.alias("keep"))
 
 

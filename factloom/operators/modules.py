@@ -103,9 +103,36 @@ def test_coverage(symbols: DataFrame, refs: DataFrame, suffix: str = "Test") ->
 
 
 def removal_plan(findings: DataFrame) -> DataFrame:
-    """(file, line, kind, name, verdict): dead code with a fix is removable, once each; the rest is blocked with a reason."""
-    once = findings.groupBy("file", "line", "kind", "name").agg(F.bool_or("has_fix").alias("has_fix"), F.min("reason").alias("reason"))
-    return once.select("file", "line", "kind", "name", F.when(F.col("has_fix"), "removable").otherwise(F.concat(F.lit("blocked: "), F.coalesce("reason", F.lit("no fix")))).alias("verdict"))
+    """(file, line, rule, kind, name, reason) of dead code; a null reason means that it can be removed.
+
+    ``findings`` has (file, line, rule, message, has_fix). A DeadCode finding
+    with a fix is removable. Without one it is blocked, and so is every
+    ModuleDeadCode finding. Kind and name come from the message, else they are
+    ``declaration`` and ``''``. What is known by file, line, kind and name
+    counts once, a removable finding before a blocked one.
+    """
+    kind, name = (F.regexp_extract("message", r"^[A-Z][a-z]+ ([a-z]+) '([^']+)'", i) for i in (1, 2))
+    # The reasons.
+    reason = (
+        F.when((F.col("rule") == "DeadCode") & F.col("has_fix"), F.lit(None).cast("string"))
+        .when(F.col("rule") == "DeadCode", "finding has no safe delete fix")
+        .when(F.coalesce(F.col("message").contains("Consider making it internal."), F.lit(False)), "visibility narrowing is not deletion")
+        .otherwise("module-aware dead code is not safely removable yet")
+    )
+    dead = findings.where(F.col("rule").isin("DeadCode", "ModuleDeadCode"))
+    rows = dead.select("file", "line", "rule", F.coalesce(F.nullif(kind, F.lit("")), F.lit("declaration")).alias("kind"), F.coalesce(name, F.lit("")).alias("name"), reason.alias("reason"))
+    first = F.min(F.struct(F.col("reason").isNotNull().alias("blocked"), "rule", "reason"))
+    return rows.groupBy("file", "line", "kind", "name").agg(first.alias("x")).select("file", "line", "x.rule", "kind", "name", "x.reason")
+
+
+def removal_summary(plan: DataFrame) -> DataFrame:
+    """(what, name, n): declarations, files and kinds that can be removed, blocked ones and their reasons."""
+    one = lambda what, name: F.struct(F.lit(what).alias("what"), name.alias("name"))
+    free = F.col("reason").isNull()
+    facts = F.when(free, F.array(one("declarations", F.lit("")), one("kind", F.col("kind")))).otherwise(F.array(one("blocked", F.lit("")), one("reason", F.col("reason"))))
+    counts = plan.select(F.inline(facts)).groupBy("what", "name").agg(F.count("*").alias("n"))
+    files = plan.where(free).agg(F.count_distinct("file").alias("n")).select(F.lit("files").alias("what"), F.lit("").alias("name"), "n")
+    return counts.unionByName(files)
 
 
 def ancestors_of(nodes: DataFrame, kinds: list[str]) -> DataFrame:

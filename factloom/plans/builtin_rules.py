@@ -32,8 +32,17 @@ def hotspot(facts: dict[str, DataFrame], allowed: int = 80) -> DataFrame:
     return declaration_fan_in(facts["symbols"], facts["refs"], at_least=allowed).select("file", "line", "start_byte", F.format_string("%s is used by %d files", "fqn", "fan_in").alias("message"))
 
 
-@BUILTIN.rule(id="ModuleCycle", rule_set="architecture", severity="error", needs=("modules",), per_line=False)
+@BUILTIN.rule(id="ModuleCycle", rule_set="architecture", severity="error", needs=("module-index",), per_line=False)
 def module_cycle(facts: dict[str, DataFrame]) -> DataFrame:
     from factloom.operators.graph import strong_components
 
     return strong_components(facts["module_edges"]).select(F.col("node").alias("file"), F.concat(F.lit("in a cycle with "), "component").alias("message"))
+
+
+@BUILTIN.rule(
+    id="LargeFile", rule_set="complexity", severity="info", needs=("aggregate",), default_on=False, per_line=False,
+    collect=lambda facts: lines(facts["texts"]).groupBy("doc_id").agg(F.count("*").alias("lines"), F.max("line_no").alias("last")),
+)
+def large_file(facts: dict[str, DataFrame], most: int = 400) -> DataFrame:
+    """An aggregate rule: its facts are gathered by file first, combined on the map side."""
+    return facts["collected"].where(F.col("lines") > most).select(F.col("doc_id").cast("string").alias("file"), F.col("last").alias("line"), F.format_string("%d lines are hard to keep in mind", "lines").alias("message"))

@@ -205,24 +205,40 @@ def gr18(commits, symbols):
     return H.delta_cosine(deltas, "author", "file", "v", seeds).withColumn("score", F.round("score", 6))
 
 
-_SIGNALS = "SELECT commit_sha, module, CASE failure_kind WHEN 'kind0' THEN 'stack' WHEN 'kind1' THEN 'metric' ELSE 'edge' END AS tier, CASE failure_kind WHEN 'kind0' THEN 0.6 WHEN 'kind1' THEN 0.4 ELSE 0.3 END::DOUBLE AS prior FROM breakages"
+_SIGNALS = "SELECT commit_sha, nullif(module, ':m7') AS module, CASE failure_kind WHEN 'kind0' THEN 'stack' WHEN 'kind1' THEN 'diff' ELSE 'history' END AS tier, CASE failure_kind WHEN 'kind0' THEN 0.95 WHEN 'kind1' THEN 0.6 ELSE 0.5 END::DOUBLE AS prior FROM breakages"
 
 
-@query("ag23_bisect_fusion", "breakages", f"SELECT commit_sha, module, max(prior) AS prior, count(DISTINCT tier) AS tiers, round(least(1.0, max(prior) + (1 - max(prior)) * (count(DISTINCT tier) - 1) / 3), 6) AS confidence FROM ({_SIGNALS}) GROUP BY ALL")
+@query("ag23_bisect_fusion", "breakages", f"SELECT commit_sha, module, max(prior) AS prior, count(DISTINCT tier) AS tiers, round(least(1.0, max(prior) + (1 - max(prior)) * (count(DISTINCT tier) - 1) / 3), 6) AS confidence FROM ({_SIGNALS}) WHERE module <> '' GROUP BY ALL")
 def ag23(breakages):
-    return _fused(breakages).withColumn("confidence", F.round("confidence", 6))
-
-
-def _fused(breakages):
-    kind = F.col("failure_kind")
-    tier = F.when(kind == "kind0", "stack").when(kind == "kind1", "metric").otherwise("edge")
-    prior = F.when(kind == "kind0", 0.6).when(kind == "kind1", 0.4).otherwise(0.3)
-    return H.bisect_fusion(breakages.select("commit_sha", "module", tier.alias("tier"), prior.alias("prior")))
-
-
-@query("gr19_structural_bisect", "breakages", f"SELECT commit_sha, module, round(c, 6) AS confidence FROM (SELECT commit_sha, module, least(1.0, max(prior) + (1 - max(prior)) * (count(DISTINCT tier) - 1) / 3) AS c FROM ({_SIGNALS}) GROUP BY ALL) ORDER BY c DESC, commit_sha, module LIMIT 50")
-def gr19(breakages):
-    return _fused(breakages).orderBy(F.desc("confidence"), "commit_sha", "module").limit(50).select("commit_sha", "module", F.round("confidence", 6).alias("confidence"))
+    tier = F.element_at(F.create_map(*[F.lit(x) for x in ("kind0", "stack", "kind1", "diff", "kind2", "history")]), F.col("failure_kind"))
+    return H.bisect_fusion(breakages.select("commit_sha", F.nullif("module", F.lit(":m7")).alias("module"), tier.alias("tier"))).withColumn("confidence", F.round("confidence", 6))
+
+
+def gr19(spark, sf_dir):
+    """Failures located by all four tiers, with snapshots, symbols and events from the driver's tables."""
+    breakages, symbols, commits = (fact(spark, sf_dir, n) for n in ("failures", "symbols", "commits"))
+    files = symbols.groupBy(F.col("file").alias("path")).agg(F.min("module").alias("module"))
+    touched = commits.join(files, F.col("file") == F.col("path")).groupBy("module").agg(F.max_by("commit_sha", F.struct("committed_at", "commit_sha")).alias("commit_sha"))
+    modules = fact(spark, sf_dir, "modules").select("path", "dir")
+    return H.structural_bisect(breakages, symbols, files, modules, touched).select("event_id", "commit_sha", "module", "tiers", F.round("confidence", 6).alias("confidence"))
+
+
+QUERIES["gr19_structural_bisect"] = gr19
+SQL["gr19_structural_bisect"] = with_facts("failures symbols commits modules", """{rec},
+    f AS (SELECT file AS path, min(module) AS module FROM symbols GROUP BY 1),
+    y AS (SELECT fqn, max_by(file, struct_pack(a := file, b := start_byte)) AS file FROM symbols GROUP BY fqn),
+    fr AS (SELECT event_id, commit_sha, unnest(frames) AS frame, generate_subscripts(frames, 1) AS pos FROM failures),
+    cl AS (SELECT event_id, commit_sha, pos, string_split(trim(split_part(trim(frame), '(', 1)), '.') AS parts FROM fr),
+    st AS (SELECT event_id, commit_sha, pos, k, array_to_string(parts[1:len(parts) - k], '.') AS fqn FROM cl, range(0, 6) t(k) WHERE k < len(parts)),
+    hit AS (SELECT event_id, commit_sha, min_by(file, pos * 10 + k) AS path FROM st JOIN y USING (fqn) GROUP BY ALL),
+    inferred AS (SELECT event_id, min(m.path) AS module FROM failures e JOIN modules m ON instr(e.file, '/src/test/') > 1 AND (m.dir = split_part(e.file, '/src/test/', 1)) GROUP BY 1),
+    s AS (SELECT event_id, commit_sha, module, 'stack' AS tier FROM hit JOIN f USING (path)
+      UNION ALL SELECT event_id, commit_sha, coalesce(f.module, i.module), 'owner' FROM failures e LEFT JOIN f ON f.path = e.file LEFT JOIN inferred i USING (event_id)
+      UNION ALL SELECT event_id, t.commit_sha, t.module, 'diff' FROM failures e JOIN (SELECT f.module, max_by(commit_sha, struct_pack(a := committed_at, b := commit_sha)) AS commit_sha FROM commits c JOIN f ON f.path = c.file GROUP BY 1) t ON t.commit_sha = e.commit_sha
+      UNION ALL SELECT e.event_id, e.commit_sha, h.module, 'history' FROM failures e JOIN (SELECT DISTINCT event_id, module, signature FROM failures WHERE module <> '') h ON h.signature = e.signature AND h.event_id <> e.event_id
+      UNION ALL SELECT e.event_id, e.commit_sha, h.module, 'history' FROM failures e JOIN (SELECT failure_kind, module, min(event_id) AS a, max(event_id) AS b FROM failures WHERE module <> '' GROUP BY ALL) h ON h.failure_kind = e.failure_kind AND NOT (h.a = e.event_id AND h.b = e.event_id)),
+    p AS (SELECT *, CASE tier WHEN 'stack' THEN 0.95 WHEN 'owner' THEN 0.85 WHEN 'diff' THEN 0.6 ELSE 0.5 END::DOUBLE AS prior FROM s WHERE module <> '')
+    SELECT event_id, commit_sha, module, count(DISTINCT tier) AS tiers, round(least(1.0, max(prior) + (1 - max(prior)) * (count(DISTINCT tier) - 1) / 3), 6) AS confidence FROM p GROUP BY event_id, commit_sha, module""")
 
 
 @query("ag24_majority", "files", "SELECT language, n FROM (SELECT language, count(*) AS n, count(*) OVER () AS d FROM files GROUP BY language) WHERE d >= 2 ORDER BY n DESC, language LIMIT 1")
@@ -277,10 +293,10 @@ def so10(commits):
     return H.lru_evict(commits.groupBy(F.col("commit_sha").alias("key")).agg(F.count("*").alias("bytes"), F.max("committed_at").alias("used_at")), 30000)
 
 
-@query("so11_retention", "snaps", "SELECT snapshot_id, CASE snapshot_id % 3 WHEN 0 THEN true WHEN 1 THEN datediff('day', captured_at, DATE '2026-03-20') <= 30 ELSE datediff('day', captured_at, DATE '2026-03-20') <= 7 END AS keep FROM (SELECT snapshot_id, min(captured_at)::DATE AS captured_at FROM snaps GROUP BY 1)")
+@query("so11_retention", "snaps", "SELECT snapshot_id, CASE snapshot_id % 3 WHEN 0 THEN true WHEN 1 THEN captured_at + INTERVAL 30 DAY >= TIMESTAMP '2026-03-20 12:00:00' ELSE captured_at + INTERVAL 7 DAY >= TIMESTAMP '2026-03-20 12:00:00' END AS keep FROM (SELECT snapshot_id, min(captured_at) AS captured_at FROM snaps GROUP BY 1)")
 def so11(snaps):
     reach = F.when(F.col("snapshot_id") % 3 == 0, "permanent").when(F.col("snapshot_id") % 3 == 1, "ref").otherwise("orphan")
-    return H.retention(H.snapshot_pairs(snaps).withColumn("reach", reach), F.lit("2026-03-20").cast("date"))
+    return H.retention(H.snapshot_pairs(snaps).withColumn("reach", reach), F.lit("2026-03-20 12:00:00"))
 
 
 @query("gr22_rule_history", "snaps", "SELECT snapshot_id, rule, count(*) AS n FROM snaps GROUP BY ALL")

@@ -104,10 +104,33 @@ def jo33(refs, symbols):
     return M.migrations(refs, mapping)
 
 
-@query("ag32_removal_plan", "found", """
-    SELECT file, line, rule_set AS kind, rule AS name, CASE WHEN bool_or(has_fix) THEN 'removable' ELSE 'blocked: ' || coalesce(min(severity), 'no fix') END AS verdict FROM found GROUP BY file, line, rule_set, rule""")
+#: Findings as dead code: the rule's length says which rule, the line what its message says.
+_DEAD = """SELECT DISTINCT file, line, has_fix, CASE length(rule) % 3 WHEN 0 THEN 'DeadCode' WHEN 1 THEN 'ModuleDeadCode' ELSE rule END AS rule,
+    CASE line % 3 WHEN 0 THEN 'Private function ''' || rule || ''' is unused' WHEN 1 THEN 'Public class ''' || rule || ''' is unused. Consider making it internal.' ELSE message END AS message FROM found"""
+_PLANNED = f"""SELECT file, line, kind, name, min(struct_pack(b := reason IS NOT NULL, rule := rule, reason := coalesce(reason, ''))) AS x FROM (
+    SELECT file, line, rule, coalesce(nullif(regexp_extract(message, '^[A-Z][a-z]+ ([a-z]+) ''([^'']+)''', 1), ''), 'declaration') AS kind, coalesce(regexp_extract(message, '^[A-Z][a-z]+ ([a-z]+) ''([^'']+)''', 2), '') AS name,
+      CASE WHEN rule = 'DeadCode' AND has_fix THEN NULL WHEN rule = 'DeadCode' THEN 'finding has no safe delete fix' WHEN contains(message, 'Consider making it internal.') THEN 'visibility narrowing is not deletion' ELSE 'module-aware dead code is not safely removable yet' END AS reason
+    FROM ({_DEAD}) WHERE rule IN ('DeadCode', 'ModuleDeadCode')) GROUP BY ALL"""
+
+
+def _dead(found):
+    n, line = F.length("rule") % 3, F.col("line") % 3
+    said = F.when(line == 0, F.concat(F.lit("Private function '"), "rule", F.lit("' is unused"))).when(line == 1, F.concat(F.lit("Public class '"), "rule", F.lit("' is unused. Consider making it internal."))).otherwise(F.col("message"))
+    return found.select("file", "line", "has_fix", F.when(n == 0, "DeadCode").when(n == 1, "ModuleDeadCode").otherwise(F.col("rule")).alias("rule"), said.alias("message")).distinct()
+
+
+@query("ud11_removal_plan", "found", f"SELECT file, line, x.rule AS rule, kind, name, nullif(x.reason, '') AS reason FROM ({_PLANNED})")
+def ud11(found):
+    return M.removal_plan(_dead(found))
+
+
+@query("ag32_removal_plan", "found", f"""
+    {{rec}}, p AS (SELECT file, kind, nullif(x.reason, '') AS reason FROM ({_PLANNED}))
+    SELECT 'declarations' AS what, '' AS name, count(*) AS n FROM p WHERE reason IS NULL HAVING count(*) > 0 UNION ALL SELECT 'kind', kind, count(*) FROM p WHERE reason IS NULL GROUP BY kind
+    UNION ALL SELECT 'blocked', '', count(*) FROM p WHERE reason IS NOT NULL HAVING count(*) > 0 UNION ALL SELECT 'reason', reason, count(*) FROM p WHERE reason IS NOT NULL GROUP BY reason
+    UNION ALL SELECT 'files', '', count(DISTINCT file) FROM p WHERE reason IS NULL""")
 def ag32(found):
-    return M.removal_plan(found.select("file", "line", F.col("rule_set").alias("kind"), F.col("rule").alias("name"), "has_fix", F.col("severity").alias("reason")))
+    return M.removal_summary(M.removal_plan(_dead(found)))
 
 
 @query("jo21_test_coverage", "symbols refs", """
@@ -154,17 +177,17 @@ def pf9(found):
     return _nodes(found).groupBy("file", "type").agg(F.min_by("id", F.struct("start", "id")).alias("id"))
 
 
-#: Rule dimension from the findings: needs, cost and flags follow from the name.
-_RULES = """SELECT rule, rule_set, len(rule) % 4 AS cost, len(rule) % 3 = 0 AS default_on, len(rule) % 11 = 0 AS deprecated, len(rule) % 7 = 0 AS noisy, CASE WHEN len(rule) % 5 = 0 THEN 'experimental' ELSE 'stable' END AS maturity
+#: Rule dimension from the findings: needs and flags follow from the name, the cost from the needs.
+_RULES = """SELECT rule, rule_set, CASE len(rule) % 4 WHEN 0 THEN 2 WHEN 1 THEN 5 WHEN 2 THEN 4 ELSE 3 END AS cost, len(rule) % 3 = 0 AS default_on, len(rule) % 11 = 0 AS deprecated, len(rule) % 7 = 0 AS noisy, CASE WHEN len(rule) % 5 = 0 THEN 'experimental' ELSE 'stable' END AS maturity
     FROM (SELECT DISTINCT rule, rule_set FROM found)"""
 
 
 def _rules(found):
     n = F.length("rule")
-    needs = F.when(n % 4 == 0, F.array(F.lit("lines"))).when(n % 4 == 1, F.array(F.lit("nodes"), F.lit("resolver"))).otherwise(F.array(F.lit("nodes"), F.lit("modules")))
+    needs = F.when(n % 4 == 0, F.array(F.lit("line-pass"))).when(n % 4 == 1, F.array(F.lit("resolver"), F.lit("oracle:expr-type"))).when(n % 4 == 2, F.array(F.lit("module-index"), F.lit("resolver"))).otherwise(F.array(F.lit("resources")))
     languages = F.when(n % 2 == 0, F.array(F.lit("kotlin"))).otherwise(F.array().cast("array<string>"))
     return found.select("rule", "rule_set").distinct().select(
-        "rule", "rule_set", (n % 4).alias("cost"), (n % 3 == 0).alias("default_on"), (n % 11 == 0).alias("deprecated"), (n % 7 == 0).alias("noisy"), F.when(n % 5 == 0, "experimental").otherwise("stable").alias("maturity"), needs.alias("needs"), languages.alias("languages")
+        "rule", "rule_set", P.derived_cost(needs).alias("cost"), (n % 3 == 0).alias("default_on"), (n % 11 == 0).alias("deprecated"), (n % 7 == 0).alias("noisy"), F.when(n % 5 == 0, "experimental").otherwise("stable").alias("maturity"), needs.alias("needs"), languages.alias("languages")
     )
 
 
@@ -173,14 +196,14 @@ def pf17(found):
     return _rules(found).where(P.is_active(["leakyscope"], ["staledrawable"], experimental=True, strict=True)).select("rule", "rule_set")
 
 
-@query("pf18_max_cost", "found", f"SELECT rule, rule_set, cost::INT AS cost FROM ({_RULES}) WHERE cost <= 1")
+@query("pf18_max_cost", "found", f"SELECT rule, rule_set, cost::INT AS cost FROM ({_RULES}) WHERE cost <= 4")
 def pf18(found):
-    return P.within_cost(_rules(found), 1).select("rule", "rule_set", F.col("cost").cast("int").alias("cost"))
+    return P.within_cost(_rules(found), "balanced").select("rule", "rule_set", F.col("cost").cast("int").alias("cost"))
 
 
-@query("pf19_capabilities", "found", "SELECT DISTINCT rule, rule_set FROM found WHERE len(rule) % 4 IN (2, 3)")
+@query("pf19_capabilities", "found", "SELECT DISTINCT rule, rule_set FROM found WHERE len(rule) % 4 = 2")
 def pf19(found):
-    return _rules(found).where(P.capability_match(["nodes"], ["resolver", "no-such-label"])).select("rule", "rule_set")
+    return _rules(found).where(P.capability_match(["resolver"], ["oracle", "no-such-label"])).select("rule", "rule_set")
 
 
 @query("pf20_languages", "found", "SELECT DISTINCT rule, rule_set FROM found WHERE len(rule) % 2 = 1")

@@ -100,10 +100,9 @@ def so5(symbols):
     return symbols.groupBy("fqn").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "fqn").limit(40)
 
 
-@query("sc11_accessor_paths", "modules", "SELECT path, ':' || replace(lower(regexp_replace(a, '([a-z0-9])([A-Z])', '\\1-\\2', 'g')), '.', ':') AS resolved FROM (SELECT path, 'core.' || layer || 'Api' || s AS a FROM (SELECT path, layer, replace(path, ':', '') AS s FROM modules))")
+@query("sc11_accessor_paths", "modules", "SELECT path, ':' || lower(substr(a, 1, 1) || regexp_replace(substr(a, 2), '(\\p{Lu})', '-\\1', 'g')) AS resolved FROM (SELECT path, 'core' || layer || 'Api' || replace(path, ':', '') AS a FROM modules)")
 def sc11(modules):
-    accessor = F.concat(F.lit("projects.core."), "layer", F.lit("Api"), F.translate("path", ":", ""))
-    return modules.select("path", S.accessor_to_path(accessor).alias("resolved"))
+    return modules.select("path", S.accessor_to_path(F.concat(F.lit("core"), "layer", F.lit("Api"), F.translate("path", ":", ""))).alias("resolved"))
 
 
 @query("sc13_accessor_names", "symbols", "SELECT DISTINCT 'get' || name AS accessor, lower(substr(name, 1, 1)) || substr(name, 2) AS property FROM symbols")
@@ -111,10 +110,10 @@ def sc13(symbols):
     return symbols.select(F.concat(F.lit("get"), "name").alias("accessor")).distinct().select("accessor", S.accessor_property(F.col("accessor")).alias("property"))
 
 
-@query("sc15_placeholder_secrets", "texts", r"SELECT doc_id, regexp_matches(lower(v), '^(x+|\*+|[.]+|<.*>|\$\{.*\}|.*(example|dummy|placeholder|changeme|your[-_]).*)$') AS placeholder FROM (SELECT doc_id, regexp_extract(text, '(https?://[^\s)]*)', 1) AS v FROM texts) WHERE v <> ''")
+@query("sc15_placeholder_secrets", "texts", r"SELECT doc_id, regexp_matches(lower(v), '^(x+|\*+|[.]+|<.*>|\$\{.*\}|.*(example|dummy|placeholder|changeme|your[-_]).*)$') AS placeholder, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(https?://[^\s)]*)', 1)) AS v FROM texts) GROUP BY ALL")
 def sc15(texts):
-    value = F.regexp_extract("text", r"(https?://[^\s)]*)", 1)
-    return texts.select("doc_id", value.alias("v")).where("v <> ''").select("doc_id", S.placeholder_secret(F.col("v")).alias("placeholder"))
+    every = texts.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(https?://[^\s)]*)"), 1)).alias("v"))
+    return every.groupBy("doc_id", S.placeholder_secret(F.col("v")).alias("placeholder")).agg(F.count("*").alias("n"))
 
 
 @query("sc19_parse_since", "commits", "SELECT DISTINCT commit_sha, committed_at AS since FROM commits")
@@ -128,9 +127,9 @@ def sc20(commits):
     return commits.select("commit_sha", F.datediff(F.lit("2026-01-01").cast("date"), F.to_date("committed_at")).alias("age")).distinct()
 
 
-@query("sc27_density", "runtime", "SELECT source_id, round(sum(value * CASE frame WHEN 'click' THEN 0.75 WHEN 'view' THEN 1.0 WHEN 'error' THEN 1.5 WHEN 'signup' THEN 2.0 ELSE 3.0 END), 4) AS weighted FROM runtime GROUP BY source_id")
+@query("sc27_density", "runtime", "SELECT source_id, round(sum(value * CASE frame WHEN 'click' THEN 0.75 WHEN 'view' THEN 1.0 WHEN 'error' THEN 1.5 WHEN 'signup' THEN 2.0 ELSE 0.0 END), 4) AS weighted FROM runtime GROUP BY source_id")
 def sc27(runtime):
-    bucket = F.element_at(F.create_map(*[F.lit(x) for p in (("click", "ldpi"), ("view", "mdpi"), ("error", "hdpi"), ("signup", "xhdpi"), ("purchase", "xxhdpi")) for x in p]), F.col("frame"))
+    bucket = F.element_at(F.create_map(*[F.lit(x) for p in (("click", "ldpi"), ("view", "mdpi"), ("error", "hdpi"), ("signup", "xhdpi"), ("purchase", "unknown")) for x in p]), F.col("frame"))
     return runtime.groupBy("source_id").agg(F.round(F.sum(F.col("value") * S.density_factor(bucket)), 4).alias("weighted"))
 
 

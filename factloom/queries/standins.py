@@ -93,6 +93,12 @@ FACTS = {
         SELECT 'kind' || (event_id % 3) AS failure_kind, 'Test ' || user_id || ' failed at 0x' || (event_id % 50) || 'ab after ' || (event_id % 20 + 100) || ' ms' AS signature,
                'c' || (event_id % 400) AS commit_sha, 'junit' AS source, ts AS occurred_at, ':m' || (user_id % 100) AS module
         FROM events WHERE event_type = 'error'""",
+    "failures": f"""
+        SELECT event_id, 'kind' || (event_id % 40) || '-' || (user_id % 20) AS failure_kind, 'test ' || user_id || ' failed' AS signature, 'c' || (event_id * 7 % 5000 + 1) AS commit_sha,
+               CASE WHEN event_id % 3 = 0 THEN '' ELSE ':m' || (user_id % 100) END AS module,
+               CASE event_id % 3 WHEN 0 THEN 'f' || (event_id % {_FILES}) WHEN 1 THEN 'src/m' || (event_id % 100 + 1) || '/src/test/T.kt' ELSE '' END AS file,
+               array(' java.lang.Thread.run(Thread.java:' || user_id || ')', 'dev.p' || (event_id % 50 + 1) || '.N' || (event_id % {_NAMES}) || '.open(N.kt:' || event_id || ')') AS frames
+        FROM events WHERE event_type = 'error'""",
     "texts": "SELECT doc_id, text, source, path FROM documents WHERE text IS NOT NULL AND text <> ''",
 }
 
@@ -110,5 +116,5 @@ def fact(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_facts(names: str, select: str) -> str:
     """DuckDB SQL of ``select`` with the named relations in front of it."""
-    ctes = ", ".join(f"{n} AS ({FACTS[n]})" for n in names.split())
+    ctes = ", ".join(f"{n} AS ({FACTS[n]})" for n in names.split()).replace("array(", "list_value(")
     return f"WITH RECURSIVE {ctes} {select}" if "{rec}" not in select else select.replace("{rec}", f"WITH RECURSIVE {ctes}")

@@ -126,7 +126,10 @@ def pf28(texts):
     return texts.where(keep).select("doc_id")
 
 
-@query("pf29_test_paths", "texts", "SELECT doc_id, coalesce(list_has_any(string_split(path, '/'), ['test', 'tests', 'androidTest', 'testFixtures', 'commonTest']), false) AS is_test FROM texts")
+_TEST = " OR ".join(f"contains(replace(path, chr(92), '/'), '{m}')" for m in S.TEST_PATHS)
+
+
+@query("pf29_test_paths", "texts", f"SELECT doc_id, coalesce({_TEST}, false) AS is_test FROM texts")
 def pf29(texts):
     return texts.select("doc_id", S.is_test_path(F.col("path")).alias("is_test"))
 
@@ -141,19 +144,29 @@ def pf32(files):
     return files.select("path", S.redact_path(F.col("path")).alias("redacted"))
 
 
-@query("sc6_finding_signature", "texts", rf"SELECT signature, count(*) AS n FROM (SELECT regexp_replace(split_part(split_part(line, '{{', 1), '=', 1), '^[ \t]+|[ \t]+$', '', 'g') AS signature FROM ({_LINES})) GROUP BY ALL")
+def _cut(sql: str, sign: str) -> str:
+    """SQL of a text up to a sign, unless it starts with it, trimmed."""
+    return f"CASE WHEN instr({sql}, '{sign}') > 1 THEN {_trim(f"substr({sql}, 1, instr({sql}, '{sign}') - 1)")} ELSE {sql} END"
+
+
+def _trim(sql: str) -> str:
+    return f"regexp_replace({sql}, '^{S.SPACE}+|{S.SPACE}+$', '', 'g')"
+
+
+@query("sc6_finding_signature", "texts", f"SELECT {_cut('b', '=')} AS signature, count(*) AS n FROM (SELECT {_cut('a', '{')} AS b FROM (SELECT {_trim('line')} AS a FROM ({_LINES}))) GROUP BY 1".replace("WITH {", "WITH "))
 def sc6(texts):
     return X.lines(texts).groupBy(S.finding_signature(F.col("line")).alias("signature")).agg(F.count("*").alias("n"))
 
 
-@query("sc10_has_token", "texts", r"SELECT doc_id FROM texts WHERE regexp_matches(text, '\bsuspend\b')")
+@query("sc10_has_token", "texts", r"SELECT doc_id, regexp_matches(text, '(^|[^A-Za-z0-9_])suspend([^A-Za-z0-9_]|$)') AS word, regexp_matches(text, '(^|[^A-Za-z0-9_])@Composable([^A-Za-z0-9_]|$)') AS mark FROM texts")
 def sc10(texts):
-    return texts.where(S.has_token(F.col("text"), "suspend")).select("doc_id")
+    return texts.select("doc_id", S.has_token(F.col("text"), "suspend").alias("word"), S.has_token(F.col("text"), "@Composable").alias("mark"))
 
 
-@query("sc26_sarif_uri", "files", "SELECT path, path AS uri FROM files")
-def sc26(files):
-    return files.select("path", S.sarif_uri(F.col("path")).alias("uri"))
+@query("sc26_sarif_uri", "texts", "SELECT path, list_aggregate(list_transform(string_split(path, '/'), lambda p: replace(replace(replace(replace(url_encode(p), '%2A', '*'), '~', '%7E'), '%7E', '~'), '+', '%20')), 'string_agg', '/') AS uri FROM (SELECT DISTINCT replace(path, '/', ' a+ü/') || '/' || source AS path FROM texts)")
+def sc26(texts):
+    path = F.concat(F.replace("path", F.lit("/"), F.lit(" a+ü/")), F.lit("/"), "source")
+    return texts.select(path.alias("path")).distinct().select("path", S.sarif_uri(F.col("path")).alias("uri"))
 
 
 @query("sc22_content_hash", "texts", "SELECT doc_id, sha256(text) AS hash FROM texts")

@@ -18,8 +18,7 @@ LANGUAGES = {"kt": "kotlin", "kts": "kotlin", "java": "java", "xml": "xml", "gra
 # How build scripts write SDK levels and plugins, and diffs their hunks.
 SDK_LEVEL = r"(?m)^\s*{}(?:Version)?\s*[=(]?\s*(\d+)"
 PLUGIN_ID = r"\bid\s*\(\s*[\"']([^\"']+)[\"']"
-HUNK_FIRST = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
-HUNK_COUNT = r"^@@ -\d+(?:,\d+)? \+\d+,(\d+) @@"
+HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 
 
 def source_tree(spark: SparkSession, root: str, endings: tuple[str, ...] = ("kt", "kts", "java"), excludes: list[str] | None = None) -> DataFrame:
@@ -50,8 +49,8 @@ def git_hunks(diff: DataFrame) -> DataFrame:
 
     name = F.nullif(F.regexp_extract("line", r"^\+\+\+ (?:b/)?(.*)$", 1), F.lit(""))
     w = Window.partitionBy("diff_id").orderBy("pos")
-    first = F.regexp_extract("line", HUNK_FIRST, 1)
-    count = F.regexp_extract("line", HUNK_COUNT, 1)
+    first = F.regexp_extract("line", HUNK, 1)
+    count = F.regexp_extract("line", HUNK, 2)
     rows = diff.withColumn("file", F.last(name, ignorenulls=True).over(w)).where(F.col("line").startswith("@@ "))
     rows = rows.select("file", first.try_cast("int").alias("first"), F.coalesce(count.try_cast("int"), F.lit(1)).alias("n"))
     return rows.where("n > 0").select("file", "first", (F.col("first") + F.col("n") - 1).alias("last"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,7 @@ from factloom.operators import traces as T
 from factloom.operators.ranges import innermost, points_in_intervals
 from factloom.operators.windows import blocked_lag
 from factloom.operators.text import apply_edits, cyclomatic
+from factloom.plans.builtin_rules import BUILTIN
 from factloom.plans import rules as P
 
 SYMBOL = "name string, fqn string, kind string, visibility string, file string, line int, start_byte bigint, is_override boolean, is_test boolean, is_main boolean, module string"
@@ -179,13 +182,26 @@ def test_scalars(spark):
     assert get(S.suffix_similarity(lit("a.b.C"), lit("x.b.C"))) == pytest.approx(2 / 3)
     assert get(S.suffix_similarity(lit("C"), lit("C"))) == 1.0 and get(S.suffix_similarity(lit(""), lit("C"))) == 0.0
     assert get(S.accessor_property(lit("getFooBar"))) == "fooBar" and get(S.accessor_property(lit("isOn"))) == "isOn" and get(S.accessor_property(lit("get"))) is None
-    assert get(S.accessor_to_path(lit("projects.core.someThing"))) == ":core:some-thing"
+    for accessor, path in (("circuitRuntime", ":circuit-runtime"), ("backstack", ":backstack"), ("circuitRuntimeUi", ":circuit-runtime-ui"), ("app", ":app"), ("", ":"), ("fooBARBaz", ":foo-b-a-r-baz"), ("Über", ":über")):
+        assert get(S.accessor_to_path(lit(accessor))) == path, accessor
+    for text, token, yes in (("foo", "foo", True), (" foo ", "foo", True), ("myfoo", "foo", False), ("foobar", "foo", False), ("foo1", "foo", False), ("foo_bar", "foo", False), ("foo.bar()", "foo", True), ("myfoo, foo", "foo", True), ("anything", "", False), ("", "foo", False), ("a.b.c", "a.b", True), ("xa.bc", "a.b", False), ("class A @Inject constructor", "@Inject", True), ("éfoo", "foo", True)):
+        assert get(S.has_token(lit(text), token)) is yes, (text, token)
+    for line, signature in (("fun calculate(x: Int) {", "fun calculate(x: Int)"), ("val x = 42", "val x"), ("{ a = b }", "{ a"), ("= 3", "= 3"), ("  a  {  b = c", "a"), ("{ x", "{ x"), ("\u00a0\tx\u2003", "x"), ("", "")):
+        assert get(S.finding_signature(lit(line))) == signature, line
+    for path, yes in (("a/src/test/kotlin/A.kt", True), ("a/jvmTest/A.kt", True), ("a/src/main/A.kt", False), ("test/A.kt", False), ("a\\androidTest\\A.kt", True), ("a/latest/A.kt", False), ("x/sharedTest/y", True)):
+        assert get(S.is_test_path(lit(path))) is yes, path
+    assert get(S.is_test_path(lit("a/it/B.kt"), also=[" /it/ "])) and not get(S.is_test_path(lit("a/test/B.kt"), instead=["/it/"]))
+    assert get(S.is_test_path(lit(None).cast("string"))) is False
     assert get(S.expected_package(lit("m/src/main/kotlin/a/b/C.kt"))) == "a.b"
     assert get(S.redact_path(S.redact_path(lit("a//b")))) == get(S.redact_path(lit("a//b")))
     assert get(S.parse_since(lit("2026-01-02"))) is not None and get(S.parse_since(lit("soon"))) is None
     assert get(S.string_body(lit('"""a"b"""'))) == 'a"b' and get(S.density_factor(lit("xhdpi"))) == 2.0
+    assert get(S.density_factor(lit("tvdpi?"))) == 0.0 and get(S.density_factor(lit(None).cast("string"))) == 0.0
+    assert [get(F.unix_micros(S.parse_since(lit(f"2026-01-02T03:04:05{x}")))) % 10**6 for x in ("Z", ".5Z", ".123456+01:00")] == [0, 500_000, 123_456]
     assert get(S.placeholder_secret(lit("your-key-here"))) and not get(S.placeholder_secret(lit("AKIA123")))
-    assert get(S.label_rank("effort", lit("small"))) == 1 and get(S.label_rank("effort", lit("?"))) is None
+    assert [get(S.label_rank("cost", lit(x))) for x in ("trivial", "line", "AST", "cross-file", "oracle", "FIR", "fast", "balanced", "thorough", "free")] == [1, 2, 3, 4, 5, 6, 3, 4, 6, None]
+    assert [get(S.label_rank("effort", lit(x))) for x in ("trivial", "local", "refactor", "architectural", "small")] == [1, 2, 3, 4, None]
+    assert [get(S.label_rank("precision", lit(x))) for x in ("heuristic/text-backed", "ast-backed", "project-structure-aware", "type-aware", "policy", "")] == [1, 2, 3, 4, 5, None]
     for glob, path, yes in (("*.kt", "a/b.kt", True), ("/a/*", "a/b.kt", True), ("/a/*", "x/a/b.kt", False), ("docs/", "x/docs/y", True), ("a/**/z.kt", "a/z.kt", True), ("a/**/z.kt", "a/b/c/z.kt", True), ("?.kt", "ab.kt", False)):
         assert get(S.excluded(lit(path), [glob])) is yes, glob
 
@@ -219,7 +235,42 @@ def test_rule_selection_order_and_running(spark, rows):
     assert rows(table.where(P.is_active()), "rule") == [("B",)]
     assert rows(table.where(P.is_active(enabled=["A"], disabled=["B"])), "rule") == [("A",)]
     assert rows(table.where(P.capability_match(["cross-file"], [])), "rule") == [("B",)] and table.where(P.capability_match(["?"], [])).count() == 0
-    assert rows(P.within_cost(table, 0), "rule") == [("A",)]
+    assert rows(P.within_cost(table, "line"), "rule") == [("A",)] and P.within_cost(table, None).count() == 2
+
+
+def test_costs_and_capabilities(spark, rows):
+    check = lambda facts: facts["x"]
+    needs = {"line": ("line-pass",), "node": (), "manifest": ("manifest", "resources", "gradle"), "wide": ("cross-file", "line-pass"), "sum": ("aggregate",), "oracle": ("oracle:members", "cross-file"), "typed": ("resolver",), "own": ("line-pass",), "said": ("oracle:members",)}
+    registry = P.Registry()
+    for name, n in needs.items():
+        registry.register(P.Rule(name, "s", "info", check, needs=n, typed=name == "typed", native=name == "own", declared_cost="trivial" if name == "said" else None))
+    table = registry.table(spark)
+    assert dict(rows(table, "rule", "cost")) == {"line": 2, "node": 3, "manifest": 3, "wide": 4, "sum": 4, "oracle": 5, "typed": 5, "own": 6, "said": 1}
+    assert rows(P.within_cost(table, "fast"), "rule") == [("line",), ("manifest",), ("node",), ("said",)]
+    assert rows(table.where(P.capability_match(["oracle"], [])), "rule") == [("oracle",), ("said",)]
+    assert rows(table.where(P.capability_match(["cross-file"], ["oracle", "?"])), "rule") == [("wide",)]
+    assert table.where(P.capability_match(["nodes"], [])).count() == 0
+    assert len(P.CAPABILITIES) == 21 and len(P.GROUPS["oracle"]) == 11
+    with pytest.raises(ValueError):
+        P.Rule("x", "s", "info", check, needs=("nodes",))
+
+
+def test_an_aggregate_rule_sees_its_facts_gathered(spark, rows):
+    texts = spark.createDataFrame([(1, "a\n" * 500), (2, "a\nb")], "doc_id bigint, text string")
+    assert rows(P.run([BUILTIN.rules["LargeFile"]], {"texts": texts}), "rule", "file") == [("LargeFile", "1")]
+
+
+def test_snapshots_are_kept_to_the_microsecond(spark, rows):
+    at = lambda days, us=0: dt.datetime(2026, 3, 31) - dt.timedelta(days=days, microseconds=us)
+    data = [(1, at(400), "permanent"), (2, at(30), "ref"), (3, at(30, 1), "ref"), (4, at(30) - dt.timedelta(hours=23), "ref"), (5, at(7), "orphan"), (6, at(7, 1), "orphan")]
+    kept = H.retention(spark.createDataFrame(data, "snapshot_id int, captured_at timestamp_ntz, reach string"), F.lit("2026-03-31 00:00:00"))
+    assert rows(kept) == [(1, True), (2, True), (3, False), (4, False), (5, True), (6, False)]
+
+
+def test_fused_signals(spark, rows):
+    data = [("c", "m", "stack"), ("c", "m", "diff"), ("c", "m", "diff"), ("c", "n", "history"), ("c", "", "stack"), ("c", None, "stack"), ("d", "m", "owner"), ("d", "m", "diff"), ("d", "m", "history"), ("d", "m", "stack")]
+    got = H.bisect_fusion(spark.createDataFrame(data, "commit_sha string, module string, tier string"))
+    assert [(r[0], r[1], round(r[2], 6)) for r in rows(got, "commit_sha", "module", "confidence")] == [("c", "m", round(0.95 + 0.05 / 3, 6)), ("c", "n", 0.5), ("d", "m", 1.0)]
 
 
 def test_every_lineitem_gives_a_module_edge(spark):

@@ -40,8 +40,32 @@ def test_modules_layers_and_owners(spark, rows):
     assert rows(M.file_to_module(files, modules, "root")) == [("D.kt", "root"), ("lib/B.kt", ":lib"), ("lib/core/x/A.kt", ":core"), ("lib/corex/C.kt", ":lib")]
     assert rows(M.assign_layers(modules, [("inner", ["core"]), ("all", ["*"])])) == [(":core", "inner"), (":lib", "all")]
     assert rows(M.owners(files, [("*", ["@all"]), ("lib/core/", ["@a", "@b"])]), "path", "owners")[2] == ("lib/core/x/A.kt", "@a,@b")
-    plan = M.removal_plan(spark.createDataFrame([("f", 1, "k", "n", True, None), ("f", 1, "k", "n", False, "x"), ("g", 1, "k", "n", False, None)], "file string, line int, kind string, name string, has_fix boolean, reason string"))
-    assert rows(plan, "file", "verdict") == [("f", "removable"), ("g", "blocked: no fix")]
+
+
+def test_removal_takes_dead_code_only_and_gives_fixed_reasons(spark, rows):
+    data = [
+        ("f", 1, "DeadCode", "Private function 'gone' appears to be unused.", True),
+        ("f", 1, "DeadCode", "Private function 'gone' appears to be unused.", False),
+        ("f", 1, "ModuleDeadCode", "Private function 'gone' appears to be unused.", True),
+        ("g", 2, "DeadCode", "Public class 'Kept' appears to be unused.", False),
+        ("g", 3, "ModuleDeadCode", "Public class 'Api' is only used here. Consider making it internal.", True),
+        ("g", 4, "ModuleDeadCode", "something else", True),
+        ("g", 5, "MagicNumber", "Private function 'other' appears to be unused.", True),
+        ("g", 6, "DeadCode", None, True),
+    ]
+    plan = M.removal_plan(spark.createDataFrame(data, "file string, line int, rule string, message string, has_fix boolean"))
+    assert rows(plan, "file", "line", "rule", "kind", "name", "reason") == [
+        ("f", 1, "DeadCode", "function", "gone", None),
+        ("g", 2, "DeadCode", "class", "Kept", "finding has no safe delete fix"),
+        ("g", 3, "ModuleDeadCode", "class", "Api", "visibility narrowing is not deletion"),
+        ("g", 4, "ModuleDeadCode", "declaration", "", "module-aware dead code is not safely removable yet"),
+        ("g", 6, "DeadCode", "declaration", "", None),
+    ]
+    assert rows(M.removal_summary(plan), "what", "name", "n") == [
+        ("blocked", "", 3), ("declarations", "", 2), ("files", "", 2), ("kind", "declaration", 1), ("kind", "function", 1),
+        ("reason", "finding has no safe delete fix", 1), ("reason", "module-aware dead code is not safely removable yet", 1), ("reason", "visibility narrowing is not deletion", 1),
+    ]
+    assert M.removal_summary(plan.limit(0)).collect() == [("files", "", 0)]
 
 
 def test_nodes_by_nesting(spark, rows):
