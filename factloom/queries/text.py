@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions import scalars as S
 from factloom.operators import text as X
+from factloom.operators import trees as R
 from factloom.queries.standins import fact, with_facts
+from factloom.sources.tree import syntax_trees
 
 QUERIES, SQL = {}, {}
 
@@ -180,3 +182,43 @@ def ud9(texts):
     long = texts.where(F.length("text") >= 12).select("doc_id")
     spans = F.array(*[F.struct(F.lit(a).cast("bigint").alias("start"), F.lit(b).cast("bigint").alias("stop"), F.lit(r).alias("replacement"), F.lit(n).alias("rule")) for a, b, r, n in ((0, 3, "<<", "a"), (8, 12, ">>", "b"), (6, 9, "??", "c"))])
     return X.apply_edits(texts, long.select("doc_id", F.inline(spans)))
+
+
+def _trees(texts):
+    """Syntax trees of all texts, those of Java sources read as Java."""
+    return syntax_trees(texts.withColumn("language", F.when(F.col("source") == "java_code", "java").otherwise("kotlin")))
+
+
+# No SQL parses these texts; the tests compare with a walk over the trees.
+
+
+@query("src5_syntax_nodes", "texts", None)
+def src5(texts):
+    return _trees(texts).groupBy("type").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
+
+
+@query("pf1b_tree_declarations", "texts", None)
+def pf1b(texts):
+    return R.declarations(_trees(texts)).select("doc_id", "kind", "name", "fqn", "owner", "visibility", "arity", "signature", "is_override", "row")
+
+
+@query("pf3b_tree_references", "texts", None)
+def pf3b(texts):
+    return R.references(_trees(texts)).groupBy("name", "kind").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("pf7b_calls_in_lambdas", "texts", None)
+def pf7b(texts):
+    nodes = _trees(texts)
+    return R.with_ancestor(nodes.where(F.col("type").isin("call_expression", "lambda_literal")), ["lambda_literal"]).where("type = 'call_expression'").groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("pf8b_calls_by_function", "texts", None)
+def pf8b(texts):
+    nodes = _trees(texts).where(F.col("type").isin("function_declaration", "call_expression"))
+    return R.count_below(nodes, ["function_declaration"], ["call_expression"])
+
+
+@query("ag18_function_metrics", "texts", None)
+def ag18(texts):
+    return R.function_metrics(_trees(texts))
