@@ -8,9 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom.operators.ranges import points_in_intervals
-from factloom.sources.tree import COGNITIVE, DECISIONS, DECLARATIONS, OPERATORS
+from factloom.sources.tree import COGNITIVE, DECISIONS, DECLARATIONS, NESTING, OPERATORS
+
+#: The node types that each operator below needs.
+METRIC_TYPES = DECISIONS | COGNITIVE | NESTING | {*OPERATORS.values(), "function_declaration"}
+DECLARED_TYPES = DECLARATIONS | {"package_header"}
+NAMED_TYPES = {"call_expression": "call", "type_identifier": "type", "simple_identifier": "name", "annotation": "annotation"}
 
 
 def nodes_of_type(nodes: DataFrame, *types: str) -> DataFrame:
@@ -53,22 +59,25 @@ def function_metrics(nodes: DataFrame) -> DataFrame:
     Functions and lambdas within it count for themselves. One aggregate by
     owner, combined on the map side.
     """
+    counts = ~F.col("type").isin("function_declaration", "lambda_literal")
     decisions = F.sum(F.when(F.col("type").isin(*DECISIONS, "elvis_expression"), 1).otherwise(0))
     hard = F.sum(F.when(F.col("type").isin(*COGNITIVE), 1 + F.col("cognitive")).when(F.col("type").isin(*OPERATORS.values()), 1).otherwise(0))
-    own = nodes.where(F.col("owner").isNotNull() & ~F.col("type").isin("function_declaration", "lambda_literal"))
-    sums = own.groupBy("doc_id", F.col("owner").alias("id")).agg(decisions.alias("d"), hard.alias("h"), F.max("nesting").alias("nesting"))
-    functions = nodes_of_type(nodes, "function_declaration").select("doc_id", "id", "name", "row")
-    joined = functions.join(sums, ["doc_id", "id"], "left")
-    return joined.select("doc_id", "id", "name", "row", (1 + F.coalesce("d", F.lit(0))).cast("int").alias("cyclomatic"), F.coalesce("h", F.lit(0)).cast("int").alias("cognitive"), F.coalesce("nesting", F.lit(0)).alias("nesting"))
+    is_function = F.col("type") == "function_declaration"
+    itself = F.max(F.when(is_function, F.struct("name", "row"))).alias("f")
+    group = F.when(is_function, F.col("id")).otherwise(F.col("owner"))
+    sums = nodes.where(counts | is_function).where(group.isNotNull()).groupBy("doc_id", group.alias("id")).agg(itself, decisions.alias("d"), hard.alias("h"), F.max(F.when(counts, F.col("nesting"))).alias("nesting"))
+    found = sums.where(F.col("f").isNotNull())
+    return found.select("doc_id", "id", "f.name", "f.row", (1 + F.col("d")).cast("int").alias("cyclomatic"), F.col("h").cast("int").alias("cognitive"), F.coalesce("nesting", F.lit(0)).alias("nesting"))
 
 
 def declarations(nodes: DataFrame) -> DataFrame:
     """(doc_id, id, kind, name, fqn, owner, visibility, arity, signature, is_override, row) of named declarations that are no locals."""
-    packages = nodes_of_type(nodes, "package_header").groupBy("doc_id").agg(F.min_by("name", "id").alias("package"))
-    named = nodes_of_type(nodes, *DECLARATIONS).where("name <> '' AND owner IS NULL").drop("owner")
+    # A window over the few nodes of a document that declare something.
+    package = F.min_by(F.when(F.col("type") == "package_header", F.col("name")), F.when(F.col("type") == "package_header", F.col("id"))).over(Window.partitionBy("doc_id"))
+    kept = nodes_of_type(nodes, *DECLARED_TYPES).where("owner IS NULL").withColumn("package", package)
+    full = nodes_of_type(kept, *DECLARATIONS).where("name <> ''").drop("owner")
     has = lambda word: F.array_contains(F.split("modifiers", " "), word)
     visibility = F.when(has("private"), "private").when(has("internal"), "internal").when(has("protected"), "protected").otherwise("public")
-    full = named.join(packages, "doc_id", "left")
     fqn = F.concat_ws(".", F.nullif("package", F.lit("")), F.nullif("scope", F.lit("")), "name")
     return full.select(
         "doc_id", "id", F.regexp_replace("type", "_declaration$", "").alias("kind"), "name", fqn.alias("fqn"), F.concat_ws(".", F.nullif("package", F.lit("")), F.nullif("scope", F.lit(""))).alias("owner"),
@@ -78,6 +87,5 @@ def declarations(nodes: DataFrame) -> DataFrame:
 
 def references(nodes: DataFrame) -> DataFrame:
     """(doc_id, name, kind, row): names that are called, used as types or read; those in comments and strings are none."""
-    kinds = {"call_expression": "call", "type_identifier": "type", "simple_identifier": "name", "annotation": "annotation"}
-    kind = F.element_at(F.create_map(*[F.lit(x) for p in kinds.items() for x in p]), F.col("type"))
+    kind = F.element_at(F.create_map(*[F.lit(x) for p in NAMED_TYPES.items() for x in p]), F.col("type"))
     return nodes.where(kind.isNotNull() & (F.col("name") != "")).select("doc_id", "name", kind.alias("kind"), "row")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -110,7 +109,7 @@ def st8_running_states(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     keyed = events.select(F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("fp"), F.col("event_id").alias("timestamp_ns"))
-    return I.drain(I.running_states(keyed), f"states_{uuid.uuid4().hex[:8]}", "complete")
+    return I.drain(I.running_states(keyed), "states", "complete")
 
 
 QUERIES["st8_running_states"] = st8_running_states
@@ -122,7 +121,7 @@ def st9_once_each(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     twice = events.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
-    return I.drain(I.once_each(twice, late="60 days").select("id"), f"once_{uuid.uuid4().hex[:8]}")
+    return I.drain(I.once_each(twice, late="60 days").select("id"), "once")
 
 
 QUERIES["st9_once_each"] = st9_once_each
@@ -132,7 +131,7 @@ SQL["st9_once_each"] = "SELECT event_id AS id FROM events"
 @query("st6_replay", "found commits", None)
 def st6(found, commits):
     affected = found.where(F.col("line") > 300).select("file").distinct()
-    return I.replay(found, affected, found.withColumn("confidence", F.lit(1.0))).groupBy("rule").agg(F.count("*").alias("n"))
+    return I.replay(found, affected, found.withColumn("confidence", F.lit(1.0))).groupBy("rule").agg(F.count("*").alias("n"), F.sum((F.col("confidence") == 1.0).cast("int")).alias("sure"))
 
 
-SQL["st6_replay"] = with_facts("found", "SELECT rule, count(*) AS n FROM found GROUP BY rule")
+SQL["st6_replay"] = with_facts("found", "SELECT rule, count(*) AS n, sum(CASE WHEN confidence = 1.0 OR file IN (SELECT file FROM found WHERE line > 300) THEN 1 WHEN confidence IS NULL THEN NULL ELSE 0 END) AS sure FROM found GROUP BY rule")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions import scalars as S
 from factloom.operators import text as X
 from factloom.operators import trees as R
+from factloom.scratch import Scratch
 from factloom.queries.standins import fact, with_facts
 from factloom.sources.tree import syntax_trees
 
@@ -184,9 +185,14 @@ def ud9(texts):
     return X.apply_edits(texts, long.select("doc_id", F.inline(spans)))
 
 
-def _trees(texts):
+def _trees(texts, types=None):
     """Syntax trees of all texts, those of Java sources read as Java."""
-    return syntax_trees(texts.withColumn("language", F.when(F.col("source") == "java_code", "java").otherwise("kotlin")))
+    return syntax_trees(texts.withColumn("language", F.when(F.col("source") == "java_code", "java").otherwise("kotlin")), types=types)
+
+
+def _saved_trees(texts, types):
+    """The same written once, for what reads them twice."""
+    return Scratch(texts.sparkSession, "trees").save(_trees(texts, types), "nodes")
 
 
 # No SQL parses these texts; the tests compare with a walk over the trees.
@@ -199,26 +205,24 @@ def src5(texts):
 
 @query("pf1b_tree_declarations", "texts", None)
 def pf1b(texts):
-    return R.declarations(_trees(texts)).select("doc_id", "kind", "name", "fqn", "owner", "visibility", "arity", "signature", "is_override", "row")
+    return R.declarations(_trees(texts, R.DECLARED_TYPES)).select("doc_id", "kind", "name", "fqn", "owner", "visibility", "arity", "signature", "is_override", "row")
 
 
 @query("pf3b_tree_references", "texts", None)
 def pf3b(texts):
-    return R.references(_trees(texts)).groupBy("name", "kind").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    return R.references(_trees(texts, R.NAMED_TYPES)).groupBy("name", "kind").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 @query("pf7b_calls_in_lambdas", "texts", None)
 def pf7b(texts):
-    nodes = _trees(texts)
-    return R.with_ancestor(nodes.where(F.col("type").isin("call_expression", "lambda_literal")), ["lambda_literal"]).where("type = 'call_expression'").groupBy("name").agg(F.count("*").alias("n"))
+    return R.with_ancestor(_saved_trees(texts, ["call_expression", "lambda_literal"]), ["lambda_literal"]).where("type = 'call_expression'").groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query("pf8b_calls_by_function", "texts", None)
 def pf8b(texts):
-    nodes = _trees(texts).where(F.col("type").isin("function_declaration", "call_expression"))
-    return R.count_below(nodes, ["function_declaration"], ["call_expression"])
+    return R.count_below(_saved_trees(texts, ["function_declaration", "call_expression"]), ["function_declaration"], ["call_expression"])
 
 
 @query("ag18_function_metrics", "texts", None)
 def ag18(texts):
-    return R.function_metrics(_trees(texts))
+    return R.function_metrics(_trees(texts, R.METRIC_TYPES))

@@ -9,8 +9,9 @@ ids up to its ``subtree_end``.
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -621,7 +622,7 @@ def parse(text: str, language: str = "kotlin") -> list[list]:
     return _Parser(text, language).file()
 
 
-def syntax_trees(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "language") -> DataFrame:
+def syntax_trees(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "language", types: Iterable[str] | None = None) -> DataFrame:
     """(key, id, parent, type, name, start, stop, row, subtree_end, depth, owner, nesting, cognitive, modifiers, scope, arity): the nodes of every text.
 
     ``start`` and ``stop`` are bytes of the UTF-8 text, ``row`` counts lines
@@ -631,8 +632,10 @@ def syntax_trees(docs: DataFrame, key: str = "doc_id", text: str = "text", langu
     make a function hard to read enclose it. ``scope`` is the dotted names of the declarations
     around the node, ``arity`` how many parameters a declaration takes, null
     without a list of them. An empty text gives its root, a null one nothing; a null language is read like Kotlin. Brackets more than
-    DEEPEST levels deep are not looked into.
+    DEEPEST levels deep are not looked into. With ``types``, only nodes of these
+    leave Python; their ids stay those of the whole tree.
     """
+    wanted = None if types is None else frozenset(types)
     kind = docs.schema[key].dataType.simpleString()
     names = [n for n, _ in _ARROW]
 
@@ -647,7 +650,13 @@ def syntax_trees(docs: DataFrame, key: str = "doc_id", text: str = "text", langu
             for k, source, lang in zip(*(c.to_pylist() for c in batch.columns)):
                 if source is None:
                     continue
-                rows = parse(source, lang or "kotlin")
+                gc.disable()  # a tree has no cycles, and the collector would walk it again and again
+                try:
+                    rows = parse(source, lang or "kotlin")
+                finally:
+                    gc.enable()
+                if wanted is not None:
+                    rows = [r for r in rows if r[2] in wanted]
                 if not source.isascii():
                     # Bytes before each character.
                     at = [0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in source)]

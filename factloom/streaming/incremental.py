@@ -6,11 +6,13 @@ delivered; watermarks bound state only and are as wide as the caller says.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
+from factloom.control import Control
 from factloom.operators.references import affected_set, overlay
 from factloom.scratch import Scratch
 
@@ -53,30 +55,72 @@ def running_states(events: DataFrame) -> DataFrame:
 class IncrementalIndex:
     """Symbols and references of the newest version of each file, kept up by micro-batches.
 
-    Each batch writes a whole new version of both tables and then a pointer to
-    it, so a batch that is run again after a failure writes the same version
-    again. ``affected`` are the files that each batch made stale, over the
-    versions before and after it.
+    Rows lie in buckets of their file's hash, and a batch rewrites only the
+    buckets of the files it changed. When these are written, a pointer (batch,
+    and for each table the batch that holds each bucket) is put beside them; a
+    batch that broke off before is written again, one that is done is passed
+    over. An index opened at the same ``root`` goes on from the last pointer.
+    ``affected`` gives the files that a batch made stale, over the versions
+    before and after it. ``schemas`` are those of the two tables, each with a
+    column ``file``.
     """
 
-    def __init__(self, spark: SparkSession, label: str = "index"):
-        self.spark, self.scratch = spark, Scratch(spark, label)
-        self.version: int | None = None
-        self.symbols: DataFrame | None = None
-        self.refs: DataFrame | None = None
-        self.affected: dict[int, DataFrame] = {}
+    TABLES = ("symbols", "refs")
+
+    def __init__(self, spark: SparkSession, schemas: tuple[str, str] = ("file string, name string", "file string, name string"), root: str | None = None, buckets: int = 16):
+        self.spark, self.schemas = spark, dict(zip(self.TABLES, schemas))
+        self.root = (root or Scratch(spark, "index").root).rstrip("/")
+        self.control = Control(spark, self.root)
+        self.buckets = self._pointer().get("buckets", buckets)
+
+    def _pointer(self) -> dict:
+        done = self.control.numbers("pointers")
+        return self.control.get("pointers", done[-1]) if done else {}
+
+    @property
+    def version(self) -> int | None:
+        """The last batch taken in."""
+        return max(self.control.numbers("pointers"), default=None)
+
+    def _rows(self, table: str, held: dict[str, int]) -> DataFrame:
+        empty = self.spark.createDataFrame([], self.schemas[table])
+        paths = [f"{self.root}/{table}/batch={n}/bucket={b}" for b, n in held.items() if self.control.exists(f"{table}/batch={n}/bucket={b}")]
+        return self.spark.read.schema(self.schemas[table]).option("basePath", f"{self.root}/{table}").parquet(*paths).select(empty.columns) if paths else empty
+
+    def table(self, name: str) -> DataFrame:
+        return self._rows(name, self._pointer().get(name, {}))
+
+    @property
+    def symbols(self) -> DataFrame:
+        return self.table("symbols")
+
+    @property
+    def refs(self) -> DataFrame:
+        return self.table("refs")
+
+    def affected(self, batch_id: int) -> DataFrame:
+        return self.spark.read.schema("file string").parquet(f"{self.root}/affected/batch={batch_id}")
 
     def apply(self, batch_id: int, changed: DataFrame, symbols: DataFrame, refs: DataFrame) -> None:
         """Take in the fresh rows of the changed files (file); a changed file without rows is gone."""
         if self.version is not None and batch_id <= self.version:
             return
-        before = [] if self.symbols is None else [(self.symbols, self.refs)]
-        new_symbols = symbols if self.symbols is None else overlay(self.symbols, changed, symbols)
-        new_refs = refs if self.refs is None else overlay(self.refs, changed, refs)
-        saved_symbols = self.scratch.save(new_symbols, f"symbols-{batch_id}")
-        saved_refs = self.scratch.save(new_refs, f"refs-{batch_id}")
-        self.affected[batch_id] = self.scratch.save(affected_set(changed, [*before, (saved_symbols, saved_refs)]), f"affected-{batch_id}")
-        self.symbols, self.refs, self.version = saved_symbols, saved_refs, batch_id
+        bucket = F.pmod(F.xxhash64("file"), F.lit(self.buckets)).cast("int").alias("bucket")
+        fresh = {"symbols": symbols, "refs": refs}
+        seen = changed.select("file")
+        for df in fresh.values():
+            seen = seen.unionByName(df.select("file"))
+        # As many as buckets.
+        touched = [str(r[0]) for r in seen.select(bucket).distinct().collect()]
+        before, after = self._pointer(), {"buckets": self.buckets}
+        for name in self.TABLES:
+            held = before.get(name, {})
+            kept = overlay(self._rows(name, {b: n for b, n in held.items() if b in touched}), changed, fresh[name])
+            kept.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/batch={batch_id}")
+            after[name] = held | dict.fromkeys(touched, batch_id)
+        versions = [tuple(self._rows(name, pointer.get(name, {})) for name in self.TABLES) for pointer in (before, after)]
+        affected_set(changed, versions).write.mode("overwrite").parquet(f"{self.root}/affected/batch={batch_id}")
+        self.control.put("pointers", batch_id, after)
 
     def writer(self, split: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]]) -> Callable[[DataFrame, int], None]:
         """A function for ``foreachBatch``; ``split`` gives (changed, symbols, refs) of a micro-batch."""
@@ -88,8 +132,56 @@ def replay(cached: DataFrame, affected: DataFrame, recomputed: DataFrame) -> Dat
     return cached.join(affected.select("file").distinct(), "file", "left_anti").unionByName(recomputed.join(affected.select("file").distinct(), "file", "left_semi"))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is and give its result as a table (memory sink, for tests and small states)."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def idle_keys(events: DataFrame, key: str = "path", at: str = "ts", idle: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """(key, since, events): stretches of a key's use that ended by ``idle`` without an event; their state is dropped then."""
+    return debounce(events, key, at, idle, late).select(key, F.col("stop").alias("since"), "events")
+
+
+def stream_rows(df: DataFrame, columns: list[str] | None = None) -> Iterator[dict]:
+    """Rows one by one as they are asked for; only the partition being read is on the driver."""
+    for row in (df.select(*columns) if columns else df).toLocalIterator(prefetchPartitions=True):
+        yield row.asDict(recursive=True)
+
+
+class Progress(StreamingQueryListener):
+    """Keeps the last progress of each query by its name: batch, rows in, rows a second."""
+
+    def __init__(self) -> None:
+        self.last: dict[str, dict] = {}
+        self.ended: dict[str, str | None] = {}
+        self._names: dict[str, str] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self._names[str(event.id)] = event.name or str(event.id)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        name = p.name or str(p.id)
+        self.last[name] = {"batch": p.batchId, "rows": self.last.get(name, {}).get("rows", 0) + p.numInputRows, "per_second": p.processedRowsPerSecond}
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[self._names.get(str(event.id), str(event.id))] = event.exception
+
+
+def drain(stream: DataFrame, label: str = "drain", mode: str = "append") -> DataFrame:
+    """Run a stream over what there is and give its result as a table in the shared folder.
+
+    Every batch replaces its own folder, so one that is run again counts once.
+    With mode ``complete`` the result is that of the last batch.
+    """
+    scratch, spark = Scratch(stream.sparkSession, label), stream.sparkSession
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(scratch.path(f"out/batch={batch_id}"))
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", scratch.path("state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    names = Control(spark, scratch.root).names("out")
+    if not names:
+        return spark.createDataFrame([], stream.schema)
+    kept = sorted(names, key=lambda n: int(n.split("=")[1]))
+    kept = kept[-1:] if mode == "complete" else kept
+    return spark.read.schema(stream.schema).parquet(*[scratch.path(f"out/{n}") for n in kept]) if len(kept) == 1 else spark.read.schema(stream.schema).option("basePath", scratch.path("out")).parquet(*[scratch.path(f"out/{n}") for n in kept]).select(stream.columns)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ def test_debounce_batch_and_stream_agree(spark, tmp_path, rows):
     batch = I.debounce(spark.read.parquet(str(tmp_path / "e")))
     assert sorted((r[0], r[3]) for r in rows(batch)) == [("a", 1), ("a", 1), ("a", 3), ("b", 1)]
     stream = I.debounce(I.file_stream(spark, str(tmp_path / "e"), schema), late="1 hour")
-    assert rows(I.drain(stream, "debounced", "complete")) == rows(batch)
+    assert rows(I.drain(stream, mode="complete")) == rows(batch)
 
 
 def test_domains_and_once_each(spark, tmp_path, rows):
@@ -33,7 +34,7 @@ def test_domains_and_once_each(spark, tmp_path, rows):
     write(spark, tmp_path / "e", [("1", at(0)), ("1", at(5)), ("2", at(9))], schema)
     write(spark, tmp_path / "e", [("2", at(20)), ("3", at(21))], schema)
     stream = I.once_each(I.file_stream(spark, str(tmp_path / "e"), schema, 1))
-    assert rows(I.drain(stream, "once"), "id") == [("1",), ("2",), ("3",)]
+    assert rows(I.drain(stream), "id") == [("1",), ("2",), ("3",)]
 
 
 def test_index_kept_by_batches_equals_the_last_versions(spark, tmp_path, rows):
@@ -41,7 +42,8 @@ def test_index_kept_by_batches_equals_the_last_versions(spark, tmp_path, rows):
     versions = [[("f", "symbol", "A"), ("f", "ref", "B"), ("g", "symbol", "B"), ("h", "ref", "A")], [("f", "symbol", "C"), ("h", "ref", "C")], [("f", "gone", "")]]
     for v in versions:
         write(spark, tmp_path / "v", v, schema)
-    index = I.IncrementalIndex(spark)
+    root = f"file://{tmp_path}/index"
+    index = I.IncrementalIndex(spark, root=root, buckets=4)
 
     def split(df):
         return df.select("file").distinct(), df.where("kind = 'symbol'").select("file", "name"), df.where("kind = 'ref'").select("file", "name")
@@ -50,10 +52,38 @@ def test_index_kept_by_batches_equals_the_last_versions(spark, tmp_path, rows):
     q.awaitTermination()
     assert rows(index.symbols) == [("g", "B")] and rows(index.refs) == [("h", "C")]
     # Removing C from f touches h, which refers to it only in the version before.
-    assert rows(index.affected[2]) == [("f",), ("h",)]
-    before = index.symbols
-    index.apply(2, before, before, before)
-    assert index.symbols is before
+    assert rows(index.affected(2)) == [("f",), ("h",)]
+    index.apply(2, index.symbols, index.symbols, index.symbols)
+    assert rows(index.symbols) == [("g", "B")]
+    # Opened anew, as after a restart, it goes on from the pointer.
+    again = I.IncrementalIndex(spark, root=root, buckets=9)
+    assert again.version == 2 and again.buckets == 4 and rows(again.refs) == [("h", "C")]
+    frame = lambda x: spark.createDataFrame(x, "file string, name string")
+    again.apply(3, spark.createDataFrame([("g",)], "file string"), frame([("g", "D")]), frame([]))
+    assert rows(again.symbols) == [("g", "D")] and rows(again.affected(3)) == [("g",)]
+    # Only the bucket of g was written.
+    held = again._pointer()["symbols"]
+    assert sorted(held.values()).count(3) == 1
+
+
+def test_idle_keys_streamed_rows_and_progress(spark, tmp_path, rows):
+    schema = "path string, ts timestamp"
+    write(spark, tmp_path / "e", [("a", at(0)), ("a", at(60_000)), ("b", at(10)), ("a", at(9_000_000))], schema)
+    assert sorted(r[::2] for r in rows(I.idle_keys(spark.read.parquet(str(tmp_path / "e"))))) == [("a", 1), ("a", 2), ("b", 1)]
+    assert [r["id"] for r in I.stream_rows(spark.range(0, 50, 1, 5), ["id"])] == list(range(50))
+    progress = I.Progress()
+    spark.streams.addListener(progress)
+    try:
+        q = I.file_stream(spark, str(tmp_path / "e"), schema).writeStream.queryName("watched").format("noop").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        for _ in range(100):
+            if "watched" in progress.ended:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(progress)
+    assert progress.last["watched"]["rows"] == 4 and progress.ended["watched"] is None
 
 
 def test_affected_set_sees_removed_contributions(spark, rows):
