@@ -216,3 +216,19 @@ def string_body(literal: Column) -> Column:
 def placeholder_secret(value: Column) -> Column:
     """Whether a secret-like value is only a stand-in."""
     return F.lower(value).rlike(r"^(x+|\*+|\.+|<.*>|\$\{.*\}|.*(example|dummy|placeholder|changeme|your[-_]).*)$")
+
+
+# Types of access keys, by their first four signs.
+ACCESS_KEYS = ["AKIA", "ASIA", "AGPA", "AIDA", "AROA", "AIPA", "ANPA", "ANVA"]
+
+
+def secret_kind(body: Column) -> Column:
+    """What secret a string literal's body holds: ``aws``, ``jwt``, ``gcp`` or ``bearer``; null for none, a stand-in or a template."""
+    body = F.trim(body)
+    bearer = F.trim(F.regexp_extract(body, r"^Bearer (.*)$", 1))
+    real = lambda c: ~placeholder_secret(c)
+    aws = body.rlike(f"^(?:{'|'.join(ACCESS_KEYS)})[A-Z0-9]{{16}}$") & ~body.endswith("EXAMPLE") & real(body)
+    jwt = body.rlike(r"^eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}$") & real(body)
+    gcp = body.contains('"type": "service_account"') | body.startswith("-----BEGIN PRIVATE KEY-----")
+    token = bearer.rlike(r"^[^\s$]{16,}$") & real(bearer)
+    return F.when(gcp, "gcp").when(aws, "aws").when(jwt, "jwt").when(token, "bearer")

@@ -231,3 +231,31 @@ def render_dot(edges: DataFrame) -> DataFrame:
     body = edges.select("src", "dst").distinct().select(F.concat(F.lit("  "), quoted("src"), F.lit(" -> "), quoted("dst"), F.lit(";")).alias("line"), F.lit(1).alias("pos"))
     ends = edges.sparkSession.createDataFrame([("digraph {", 0), ("}", 2)], "line string, pos int")
     return body.union(ends).orderBy("pos", "line").select("line")
+
+
+def _mermaid_id(c: str):
+    return F.concat(F.lit("n"), F.regexp_replace(c, "[^A-Za-z0-9]", "_"))
+
+
+def render_mermaid(edges: DataFrame) -> DataFrame:
+    """(line): a Mermaid graph, one row per line: its nodes, then its edges, with their label where there is one (column ``label``)."""
+    named = edges if "label" in edges.columns else edges.withColumn("label", F.lit(""))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    quoted = F.concat(F.lit('"'), F.regexp_replace("id", '(["\\\\])', "\\\\$1"), F.lit('"'))
+    of_nodes = nodes.select(F.concat(F.lit("  "), _mermaid_id("id"), F.lit("["), quoted, F.lit("]")).alias("line"), F.lit(1).alias("pos"))
+    arrow = F.when(F.coalesce("label", F.lit("")) == "", " --> ").otherwise(F.concat(F.lit(" -->|"), "label", F.lit("| ")))
+    of_edges = named.select(F.concat(F.lit("  "), _mermaid_id("src"), arrow, _mermaid_id("dst")).alias("line"), F.lit(2).alias("pos")).distinct()
+    head = edges.sparkSession.createDataFrame([("graph TD", 0)], "line string, pos int")
+    return of_nodes.union(of_edges).union(head).orderBy("pos", "line").select("line")
+
+
+def render_json(edges: DataFrame, scope: str = "module") -> DataFrame:
+    """(line): a JSON document with nodes and edges, one of them a line."""
+    from pyspark.sql.window import Window
+
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select(F.to_json(F.struct("id")).alias("v"), F.lit(1).alias("pos"))
+    of_edges = edges.select(F.col("src").alias("from"), F.col("dst").alias("to")).distinct().select(F.to_json(F.struct("from", "to")).alias("v"), F.lit(3).alias("pos"))
+    rows = nodes.union(of_edges)
+    comma = F.when(F.lead("v").over(Window.partitionBy("pos").orderBy("v")).isNull(), "").otherwise(",")
+    ends = edges.sparkSession.createDataFrame([(f'{{"scope":"{scope}","nodes":[', 0), ('],"edges":[', 2), ("]}", 4)], "line string, pos int")
+    return rows.select(F.concat("v", comma).alias("line"), "pos").union(ends).orderBy("pos", "line").select("line")

@@ -226,3 +226,18 @@ def used_external(imports: DataFrame, refs: DataFrame, own_packages: DataFrame)
     named = imports.select(F.lit("import").alias("kind"), F.col("import").alias("name")).union(refs.where(F.col("name").contains(".")).select(F.lit("reference"), "name")).distinct()
     package = F.regexp_extract("name", r"^(.*)\.[^.]*$", 1)
     return named.join(own_packages.select(F.col("package").alias("_p")).distinct(), package == F.col("_p"), "left_anti")
+
+
+def estimated_names(references: int) -> int:
+    """How many distinct names an index of so many references is sized for: a sixteenth, within fixed bounds."""
+    return min(max(references // 16, 1024), 262_144)
+
+
+def index_statistics(refs: DataFrame, error: float = 0.02) -> DataFrame:
+    """(refs, names, files): rows, and estimates of the distinct names and files; one pass of sketches, combined on the map side."""
+    return refs.agg(F.count("*").alias("refs"), F.approx_count_distinct("name", error).alias("names"), F.approx_count_distinct("file", error).alias("files"))
+
+
+def dispatch_order(files: DataFrame) -> DataFrame:
+    """Files (path, bytes) in the order in which they are best begun: the largest first, ties by path."""
+    return files.orderBy(F.desc("bytes"), "path")

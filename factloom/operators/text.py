@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.scalars import DECISION
+from factloom.functions.scalars import DECISION, secret_kind
 
 #: One declaration: modifiers, what it is, its name.
 DECLARATION = r"(?m)^[ \t]*((?:(?:public|private|internal|protected|open|abstract|sealed|data|override|suspend|inline|static|final)[ \t]+)*)(class|interface|object|enum|fun|val|var)[ \t]+(?:class[ \t]+)?(\w+)"
@@ -191,3 +191,33 @@ def apply_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], schema=_EDITED)
 
     return joined.mapInArrow(run, "doc_id bigint, text string, applied int")
+
+
+#: A string literal, raw or not, without templates taken apart.
+LITERAL = r'"""[\s\S]*?"""|"(?:[^"\\\n]|\\.)*"'
+
+
+def secrets(docs: DataFrame) -> DataFrame:
+    """(doc_id, kind, n): string literals that hold a secret, counted by kind."""
+    literal = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(LITERAL), F.lit(0))).alias("literal"))
+    n = F.length("literal")
+    inside = F.when(F.col("literal").startswith('"""') & (n >= 6), F.substring("literal", F.lit(4), n - 6)).otherwise(F.substring("literal", F.lit(2), n - 2))
+    body = F.regexp_replace(inside, r"\\(.)", "$1")
+    return literal.select("doc_id", secret_kind(body).alias("kind")).where("kind IS NOT NULL").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+def resource_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, kind, name, items): plurals by quantity, arrays by position, styles by attribute, of resource files.
+
+    The last of two items with one key wins. Empty groups have no items.
+    """
+    group = r'(?s)<(plurals|string-array|integer-array|array|style)\s+name="([^"]*)"[^>/]*>(.*?)</\1>'
+    kinds, names, bodies = (F.regexp_extract_all("text", F.lit(group), F.lit(i)) for i in (1, 2, 3))
+    rows = docs.select("doc_id", F.inline(F.arrays_zip(kinds.alias("kind"), names.alias("name"), bodies.alias("body"))))
+    values = F.transform(F.regexp_extract_all("body", F.lit(r"(?s)<item[^>]*>(.*?)</item>"), F.lit(1)), lambda v: F.trim(v))
+    keyed = F.regexp_extract_all("body", F.lit(r'<item[^>]*?\s(?:quantity|name)="([^"]*)"'), F.lit(1))
+    position = F.transform(F.sequence(F.lit(0), F.size(values)), lambda i: i.cast("string"))
+    keys = F.when(F.col("kind").isin("plurals", "style"), keyed).otherwise(F.slice(position, F.lit(1), F.size(values)))
+    pairs = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda x: x["k"].isNotNull() & x["v"].isNotNull())
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
+    return rows.select("doc_id", "kind", "name", F.map_from_entries(last).alias("items"))

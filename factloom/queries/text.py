@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars as S
+from factloom.operators import facts as C
 from factloom.operators import text as X
 from factloom.operators import trees as R
 from factloom.scratch import Scratch
@@ -81,14 +82,14 @@ def src16(texts):
     return X.project_dependencies(texts)
 
 
-@query("src13_library_dependencies", "texts", f"SELECT doc_id, unnest({_all('text', X.LIBRARY, 1)}) AS configuration, unnest({_all('text', X.LIBRARY, 2)}) AS \"group\", unnest({_all('text', X.LIBRARY, 3)}) AS name, unnest({_all('text', X.LIBRARY, 4)}) AS version FROM texts")
-def src13(texts):
-    return X.library_dependencies(texts)
+@query("src13_library_dependencies", "scripts", f"SELECT doc_id, unnest({_all('text', X.LIBRARY, 1)}) AS configuration, unnest({_all('text', X.LIBRARY, 2)}) AS \"group\", unnest({_all('text', X.LIBRARY, 3)}) AS name, unnest({_all('text', X.LIBRARY, 4)}) AS version FROM scripts")
+def src13(scripts):
+    return X.library_dependencies(scripts)
 
 
-@query("src9_xml_references", "texts", rf"SELECT doc_id, line_no, unnest({_all('line', chr(92) + 'b(?:[a-z][0-9A-Za-z_]*[.])+[A-Z][0-9A-Za-z_]*')}) AS name FROM ({_LINES}) WHERE doc_id IN (SELECT doc_id FROM texts WHERE regexp_matches(text, '^\s*<'))")
-def src9(texts):
-    return X.xml_class_references(texts)
+@query("src9_xml_references", "scripts", rf"SELECT doc_id, line_no, unnest({_all('line', chr(92) + 'b(?:[a-z][0-9A-Za-z_]*[.])+[A-Z][0-9A-Za-z_]*')}) AS name FROM ({_LINES.replace('FROM texts', 'FROM scripts')}) WHERE doc_id IN (SELECT doc_id FROM scripts WHERE regexp_matches(text, '^\s*<'))")
+def src9(scripts):
+    return X.xml_class_references(scripts)
 
 
 @query("src11_resources", "texts", r"""
@@ -226,3 +227,29 @@ def pf8b(texts):
 @query("ag18_function_metrics", "texts", None)
 def ag18(texts):
     return R.function_metrics(_trees(texts, R.METRIC_TYPES))
+
+
+@query("sc14_secrets", "scripts", f"""
+    SELECT doc_id, CASE WHEN regexp_matches(b, '^({'|'.join(S.ACCESS_KEYS)})[A-Z0-9]{{16}}$') THEN 'aws' WHEN regexp_matches(b, '^Bearer [^ $]{{16,}}$') AND NOT regexp_matches(lower(b), 'example|dummy|placeholder|changeme|your[-_]') THEN 'bearer' END AS kind, count(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '"([^"]*)"', 1)) AS b FROM scripts) GROUP BY ALL HAVING kind IS NOT NULL""")
+def sc14(scripts):
+    return X.secrets(scripts)
+
+
+@query("sc28_plurals", "scripts", r"""SELECT doc_id, regexp_extract(text, '<plurals name="([^"]*)"', 1) AS name, trim(regexp_extract(text, 'quantity="one">([^<]*)<', 1)) AS one, trim(regexp_extract(text, 'quantity="other">([^<]*)<', 1)) AS other FROM scripts""")
+def sc28(scripts):
+    items = X.resource_groups(scripts).where("kind = 'plurals'")
+    return items.select("doc_id", "name", F.element_at("items", "one").alias("one"), F.element_at("items", "other").alias("other"))
+
+
+@query("pf26_files_to_ask", "texts", "SELECT doc_id FROM texts WHERE contains(text, 'suspend') OR contains(text, ' as ') OR contains(text, '!!')")
+def pf26(texts):
+    return C.files_to_ask(texts, {"SuspendLeak": ["suspend", ""], "UnsafeCast": [" as ", "!!"], "TreeOnly": []})
+
+
+@query("ud8_codemod", "texts", None)
+def ud8(texts):
+    """Throwing calls renamed in all Kotlin texts: edits from their trees, applied."""
+    recipe = {"name": "RenameLog", "language": "kotlin", "match": "(call_expression log|println)", "replacement": "logger.info($text)"}
+    docs = texts.withColumn("language", F.when(F.col("source") == "java_code", "java").otherwise("kotlin"))
+    return X.apply_edits(texts, R.codemod(docs, recipe)).where("applied > 0").select("doc_id", "applied", F.length("text").alias("length"))

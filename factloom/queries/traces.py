@@ -100,10 +100,12 @@ def jo26(refs, symbols):
     return T.orphan_symbols(symbols, T.reconcile(_states(refs), symbols))
 
 
-@query("jo27_phantom_states", "refs symbols", f"SELECT name AS fp, count(*) AS n FROM refs WHERE name IN (SELECT fp FROM ({_RECONCILED}) WHERE how = 'unresolved') GROUP BY name")
+@query("jo27_phantom_states", "refs symbols", f"{{rec}}, seen AS (SELECT CASE WHEN in_comment THEN name || 'Gone' ELSE name END AS name FROM refs) SELECT name AS fp, count(*) AS n FROM seen WHERE name IN (SELECT fp FROM ({_RECONCILED.replace('FROM refs', 'FROM seen')}) WHERE how = 'unresolved') GROUP BY name")
 def jo27(refs, symbols):
-    counts = refs.groupBy(F.col("name").alias("fp")).agg(F.count("*").alias("n"))
-    return T.phantom_states(counts, T.reconcile(_states(refs), symbols))
+    """Names in comments stand for states whose code is gone."""
+    seen = refs.select(F.when(F.col("in_comment"), F.concat("name", F.lit("Gone"))).otherwise(F.col("name")).alias("name"))
+    counts = seen.groupBy(F.col("name").alias("fp")).agg(F.count("*").alias("n"))
+    return T.phantom_states(counts, T.reconcile(_states(seen), symbols))
 
 
 @query("gr20_match_frames", "refs symbols", f"""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions.scalars import excluded, glob_regex
+from factloom.functions.scalars import event_id, excluded, glob_regex, normalize_signature
 
 # Languages by file name ending.
 LANGUAGES = {"kt": "kotlin", "kts": "kotlin", "java": "java", "xml": "xml", "gradle": "gradle", "toml": "toml"}
@@ -241,3 +241,93 @@ def merge_config(base: dict, over: dict) -> dict:
     for k, v in over.items():
         out[k] = merge_config(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
     return out
+
+
+def load_document(text: str):
+    """A JSON document, or a YAML one where a YAML reader is installed."""
+    import json
+
+    try:
+        return json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError:
+            raise ValueError("no JSON, and no YAML reader is installed") from None
+        try:
+            return yaml.safe_load(text)
+        except yaml.YAMLError as bad:
+            raise ValueError(str(bad)) from None
+
+
+def _required(data: dict, *keys: str) -> None:
+    for key in keys:
+        if not str(data.get(key) or "").strip():
+            raise ValueError(f"{key} is required")
+
+
+def recipe(text: str) -> dict[str, str]:
+    """A codemod recipe: name, language (kotlin or java), match, replacement."""
+    data = load_document(text)
+    if not isinstance(data, dict):
+        raise ValueError("a recipe is a map")
+    _required(data, "name", "match")
+    if str(data.get("language") or "").strip().lower() not in ("kotlin", "java"):
+        raise ValueError("language must be kotlin or java")
+    if not data.get("replacement"):
+        raise ValueError("replacement is required")
+    return {k: str(data[k]) for k in ("name", "language", "match", "replacement")}
+
+
+def migration_map(spark: SparkSession, text: str) -> DataFrame:
+    """(library, from_version, to_version, old, new, reason) of a library's migration map."""
+    data = load_document(text)
+    if not isinstance(data, dict):
+        raise ValueError("a migration map is a map")
+    _required(data, "library")
+    rows = []
+    for step in data.get("migrations") or []:
+        _required(step, "from", "to")
+        if not step.get("symbols"):
+            raise ValueError("a migration needs a symbol")
+        for entry in step["symbols"]:
+            _required(entry, "symbol")
+            rows.append((data["library"], str(step["from"]), str(step["to"]), entry["symbol"], entry.get("replacement"), entry.get("reason")))
+    if not rows:
+        raise ValueError("a migration map needs a migration")
+    return spark.createDataFrame(rows, "library string, from_version string, to_version string, old string, new string, reason string")
+
+
+_EVENT = "struct<failure_kind string, signature string, module string, file string, symbol string, source string, frames array<string>, message string>"
+
+
+def generic_failures(texts: DataFrame, commit_sha: str, source: str = "local") -> DataFrame:
+    """Failures of JSON documents that are one event or a list of them (doc_id, event_id, and the event's fields).
+
+    An event without a kind is a runtime failure, without a signature its
+    normalized message stands for it, without a source ``source``. A blank
+    text has no events; one that is no JSON gives none.
+    """
+    if not commit_sha:
+        raise ValueError("a commit is required")
+    body = F.trim("text")
+    whole = F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
+    rows = texts.where(body != "").select("doc_id", F.explode(F.from_json(whole, f"array<{_EVENT}>")).alias("e")).where("e IS NOT NULL").select("doc_id", "e.*")
+    given = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), other)
+    full = rows.select(
+        "doc_id", F.lit(commit_sha).alias("commit_sha"), given("failure_kind", F.lit("runtime_failure")).alias("failure_kind"), given("signature", normalize_signature(F.coalesce("message", F.lit("")))).alias("signature"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("module", "file", "symbol")], F.when(F.trim("source") != "", F.col("source")).otherwise(source).alias("source"), "frames", F.coalesce("message", F.lit("")).alias("message"),
+    )
+    return full.withColumn("event_id", event_id(F.col("failure_kind"), F.col("signature"), F.col("commit_sha"), F.col("source")))
+
+
+def baseline_json(spark: SparkSession, path: str) -> DataFrame:
+    """(section, id) of baseline JSON files."""
+    data = spark.read.option("multiLine", "true").schema("manuallySuppressed array<string>, currentIssues array<string>").json(path)
+    named = F.array(F.struct(F.lit("ManuallySuppressedIssues").alias("section"), F.col("manuallySuppressed").alias("ids")), F.struct(F.lit("CurrentIssues").alias("section"), F.col("currentIssues").alias("ids")))
+    return data.select(F.inline(named)).select("section", F.explode("ids").alias("id"))
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(section, id), each once; JSON by its ending, XML else."""
+    return (baseline_json if path.endswith(".json") else baseline_xml)(spark, path).distinct()

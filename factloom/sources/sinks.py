@@ -6,11 +6,15 @@ format; documents are built by grouped aggregates and never on the driver.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom.functions.scalars import sarif_uri
 from factloom.operators.findings import baseline_id
+from factloom.scratch import delete, exists
 
 # SARIF's names of severities.
 LEVELS = {"error": "error", "warning": "warning", "info": "note"}
@@ -61,6 +65,47 @@ def baseline_ids(findings: DataFrame) -> DataFrame:
     return findings.select(baseline_id().alias("id")).distinct().orderBy("id")
 
 
+def write_baseline(ids: DataFrame, path: str) -> None:
+    """Write (section, id) as one baseline file, JSON by its ending, XML else; ids sorted, each once.
+
+    A baseline is one document, made up of a row for each line in its order;
+    the lines are written by one task but never gathered in one value.
+    """
+    spark = ids.sparkSession
+    rows = ids.where("id <> ''").select("section", "id").distinct()
+    last = F.lead("id").over(Window.partitionBy("section").orderBy("id")).isNull()
+    if path.endswith(".json"):
+        quoted = F.regexp_replace(F.to_json(F.struct(F.col("id").alias("x"))), r"^\{\"x\":|\}$", "")
+        body = rows.select("section", F.lit(1).alias("at"), "id", F.concat(F.lit("    "), quoted, F.when(last, "").otherwise(",")).alias("value"))
+        frame = {"ManuallySuppressedIssues": ('  "manuallySuppressed": [', "  ],"), "CurrentIssues": ('  "currentIssues": [', "  ]")}
+        ends = ("{", "}")
+    else:
+        body = rows.select("section", F.lit(1).alias("at"), "id", F.concat(F.lit("    <ID>"), _xml("id"), F.lit("</ID>")).alias("value"))
+        frame = {n: (f"  <{n}>", f"  </{n}>") for n in ("ManuallySuppressedIssues", "CurrentIssues")}
+        ends = ("<SmellBaseline>", "</SmellBaseline>")
+    marks = [("", 0, "", ends[0])] + [(n, at, "", v) for n, pair in frame.items() for at, v in zip((0, 2), pair)] + [("~", 3, "", ends[1])]
+    whole = body.unionByName(spark.createDataFrame(marks, "section string, at int, id string, value string"))
+    order = F.when(F.col("section") == "", 0).when(F.col("section") == "ManuallySuppressedIssues", 1).when(F.col("section") == "CurrentIssues", 2).otherwise(3)
+    whole.withColumn("o", order).coalesce(1).sortWithinPartitions("o", "at", "id").select("value").write.mode("overwrite").text(path)
+
+
+def append_metrics(records: DataFrame, path: str) -> None:
+    """Append records to a JSONL history, an object a line."""
+    records.write.mode("append").json(path)
+
+
+def sarif_document(findings: DataFrame, tool: str) -> DataFrame:
+    """(value): the lines of one SARIF 2.1 document in their order: the run, its rules, its results."""
+    rules = findings.groupBy(F.concat_ws("/", "rule_set", "rule").alias("id")).agg(F.count("*").alias("n")).select(F.lit(1).alias("at"), F.col("id").alias("k"), F.to_json(F.struct("id")).alias("v"))
+    results = sarif_results(findings).select(F.lit(3).alias("at"), F.col("file").alias("k"), F.col("value").alias("v"))
+    rows = rules.unionByName(results)
+    comma = F.when(F.lead("at").over(Window.partitionBy("at").orderBy("k", "v")).isNull(), "").otherwise(",")
+    body = rows.select("at", "k", "v", F.concat("v", comma).alias("value"))
+    head = '{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":' + json.dumps(tool) + ',"rules":['
+    frame = findings.sparkSession.createDataFrame([(0, "", "", head), (2, "", "", ']}},"results":['), (4, "", "", "]}]}")], "at int, k string, v string, value string")
+    return body.unionByName(frame).orderBy("at", "k", "v").select("value")
+
+
 def surface(symbols: DataFrame) -> DataFrame:
     """(value): the API surface, ``kind<TAB>name`` a line, sorted, each once."""
     return symbols.where("visibility = 'public'").select(F.concat_ws("\t", "kind", "name").alias("value")).distinct().orderBy("value")
@@ -86,15 +131,26 @@ class SnapshotStore:
 
 
 class KeyedCache:
-    """Results by content hash, rule-set hash and kind; a miss is an anti-join."""
+    """Results by content hash, rule-set hash and kind; a miss is an anti-join.
+
+    Kinds are folders. ``put`` writes only keys that are not held yet, each
+    once; ``invalidate`` drops a kind, or all.
+    """
 
     KEY = ["content_hash", "rules_hash", "kind"]
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
+    def _all(self, like: DataFrame) -> DataFrame:
+        return self.spark.read.schema(like.schema).parquet(self.root) if exists(self.spark, self.root) else self.spark.createDataFrame([], like.schema)
+
     def put(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.root)
+        fresh = rows.dropDuplicates(self.KEY)
+        fresh.join(self._all(rows).select(self.KEY), self.KEY, "left_anti").select(rows.columns).write.mode("append").partitionBy("kind").parquet(self.root)
+
+    def invalidate(self, kind: str | None = None) -> None:
+        delete(self.spark, self.root if kind is None else f"{self.root}/kind={kind}")
 
     def get(self, wanted: DataFrame) -> DataFrame:
         """Cached rows of the wanted keys, each once."""
