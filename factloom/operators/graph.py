@@ -50,16 +50,16 @@ def closure(edges: DataFrame) -> DataFrame:
     files. By path doubling, so log2(diameter) rounds.
     """
     scratch = Scratch(edges.sparkSession, "closure")
-    known, step = scratch.save(_clean(edges), "known-0"), 0
-    n = known.count()
-    while True:
+    fresh, step = scratch.save(_clean(edges), "new-0"), 0
+    known = fresh
+    while not fresh.isEmpty():
         step += 1
-        two = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        known = scratch.save(known.union(two).distinct(), f"known-{step}")
-        now = known.count()
-        if now == n:
-            return known
-        n = now
+        # Of two paths that meet, one at least is new.
+        then = fresh.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
+        before = known.alias("a").join(fresh.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
+        fresh = scratch.save(then.union(before).distinct().join(known, ["src", "dst"], "left_anti"), f"new-{step}")
+        known = known.unionByName(fresh)
+    return known
 
 
 def _trim(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
@@ -209,11 +209,13 @@ def live_symbols(symbols: DataFrame, refs: DataFrame, roots: DataFrame) -> DataF
     """
     sites = symbols.select("file", "name", "line").distinct()
     uses = refs.where(~F.col("in_comment")).join(sites, ["file", "name", "line"], "left_anti").select("file", "name").distinct()
-    targets = symbols.select("name", F.col("file").alias("dst")).distinct()
-    edges = uses.join(targets, "name").select(F.col("file").alias("src"), "dst").distinct()
+    # From files to the names they use and from names to the files that declare them: a name
+    # declared in k files and used in m makes k + m edges, not k * m.
+    file, name = (lambda c: F.concat(F.lit("f:"), c)), (lambda c: F.concat(F.lit("n:"), c))
+    edges = uses.select(file("file").alias("src"), name("name").alias("dst")).union(symbols.select(name("name").alias("src"), file("file").alias("dst")))
     scratch = Scratch(symbols.sparkSession, "live")
-    visited = scratch.save(reachable(edges, roots.select(F.col("file").alias("node"))).select(F.col("node").alias("file")), "visited")
-    named = uses.join(visited, "file", "left_semi").select("name").distinct()
+    visited = scratch.save(reachable(edges, roots.select(file("file").alias("node"))).select("node"), "visited")
+    named = visited.where(F.col("node").startswith("n:")).select(F.substring("node", F.lit(3), F.length("node")).alias("name"))
     live = symbols.join(named, "name", "left_semi").select("fqn", "file")
     return live.union(symbols.join(roots.select("file").distinct(), "file", "left_semi").select("fqn", "file")).distinct()
 

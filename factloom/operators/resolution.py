@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from factloom.functions.scalars import package_of
 from factloom.operators.graph import strong_components
@@ -21,16 +20,20 @@ def resolve_callables(calls: DataFrame, symbols: DataFrame, imports: DataFrame)
     c = calls.select("file", "package", "name", "arity").distinct()
     explicit = imports.where(~F.col("import").endswith("*")).select("file", F.regexp_extract("import", r"([^.]*)$", 1).alias("name"), F.col("import").alias("fqn"))
     fits = (F.col("arity") < 0) | (F.col("arity") == F.col("_arity"))
-    keep = ["file", "name", "arity", "fqn"]
-    found = (
-        c.join(explicit, ["file", "name"]).select(*keep, F.lit(1).alias("_p"))
-        .unionByName(c.where(F.col("name").contains(".")).select("file", "name", "arity", F.col("name").alias("fqn"), F.lit(2).alias("_p")))
-        .unionByName(c.join(known, ["package", "name"]).where(fits).select(*keep, F.lit(3).alias("_p")))
-        .unionByName(c.join(known.drop("package"), "name").where(fits).select(*keep, F.lit(4).alias("_p")))
-    )
-    best = F.min("_p").over(Window.partitionBy("file", "name", "arity"))
-    how = F.element_at(F.array(*map(F.lit, ("import", "dotted", "package", "name"))), F.col("_p"))
-    return found.distinct().withColumn("_b", best).where(F.col("_p") == F.col("_b")).select(*keep, how.alias("how"))
+    by = ["file", "name", "arity"]
+    # Tier by tier, so that a simple name meets all symbols of that name only where nothing better was found.
+    tiers = [
+        ("import", lambda left: left.join(explicit, ["file", "name"])),
+        ("dotted", lambda left: left.where(F.col("name").contains(".")).withColumn("fqn", F.col("name"))),
+        ("package", lambda left: left.join(known, ["package", "name"]).where(fits)),
+        ("name", lambda left: left.join(known.drop("package"), "name").where(fits)),
+    ]
+    left, out = c, None
+    for how, tier in tiers:
+        hits = tier(left).select(*by, "fqn", F.lit(how).alias("how")).distinct()
+        out = hits if out is None else out.unionByName(hits)
+        left = left.join(hits.select(by).distinct(), by, "left_anti")
+    return out
 
 
 def cycles_within(edges: DataFrame, home: DataFrame) -> DataFrame:

@@ -78,9 +78,10 @@ FACTS = {
         SELECT DISTINCT {_PLAIN.format("file")} AS file, CAST(start_byte - 400 AS BIGINT) AS start_byte, CAST(start_byte + 900 AS BIGINT) AS end_byte,
                CASE WHEN line % 5 = 0 THEN 'all' ELSE lower(trim(rule)) END AS rule
         FROM findings WHERE file IS NOT NULL AND severity = 'info' AND fix IS NOT NULL AND start_byte IS NOT NULL AND rule IS NOT NULL""",
+    # What was accepted once: every finding that only informs.
     "baseline": f"""
         SELECT DISTINCT lower(trim(rule)) || ':' || {_PLAIN.format("file")} || ':$' || lower(trim(rule)) || '$' || coalesce(message, '') AS id
-        FROM findings WHERE file IS NOT NULL AND rule IS NOT NULL AND report_id < 20""",
+        FROM findings WHERE file IS NOT NULL AND rule IS NOT NULL AND severity = 'info'""",
     "snaps": f"""
         SELECT DISTINCT snapshot_id, captured_at, rule, rule_set, {_PLAIN.format("file")} AS file, split_part({_PLAIN.format("file")}, '/', 1) || ':' || split_part({_PLAIN.format("file")}, '/', 2) AS module,
                coalesce(line, 0) AS line, coalesce(message, '') AS message
