@@ -209,13 +209,18 @@ def live_symbols(symbols: DataFrame, refs: DataFrame, roots: DataFrame) -> DataF
     """
     sites = symbols.select("file", "name", "line").distinct()
     uses = refs.where(~F.col("in_comment")).join(sites, ["file", "name", "line"], "left_anti").select("file", "name").distinct()
-    # From files to the names they use and from names to the files that declare them: a name
-    # declared in k files and used in m makes k + m edges, not k * m.
-    file, name = (lambda c: F.concat(F.lit("f:"), c)), (lambda c: F.concat(F.lit("n:"), c))
-    edges = uses.select(file("file").alias("src"), name("name").alias("dst")).union(symbols.select(name("name").alias("src"), file("file").alias("dst")))
     scratch = Scratch(symbols.sparkSession, "live")
-    visited = scratch.save(reachable(edges, roots.select(file("file").alias("node"))).select("node"), "visited")
-    named = visited.where(F.col("node").startswith("n:")).select(F.substring("node", F.lit(3), F.length("node")).alias("name"))
+    uses, declared = scratch.save(uses, "uses"), scratch.save(symbols.select("name", "file").distinct(), "declared")
+    # From files to the names they use, and from these to the files that declare them: a name
+    # declared in k files and used in m meets k + m of them, not k * m.
+    front = scratch.save(roots.where("file IS NOT NULL").select("file").distinct(), "front-0")
+    seen, step = front, 0
+    while not front.isEmpty():
+        step += 1
+        names = uses.join(front, "file", "left_semi").select("name").distinct()
+        front = scratch.save(declared.join(names, "name", "left_semi").select("file").distinct().join(seen, "file", "left_anti"), f"front-{step}")
+        seen = seen.unionByName(front)
+    named = uses.join(seen, "file", "left_semi").select("name").distinct()
     live = symbols.join(named, "name", "left_semi").select("fqn", "file")
     return live.union(symbols.join(roots.select("file").distinct(), "file", "left_semi").select("fqn", "file")).distinct()
 

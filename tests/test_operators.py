@@ -310,3 +310,16 @@ def test_every_lineitem_gives_an_import(spark):
     lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
     late = {(f"f{r.l_orderkey % 300}", f"dev.p{r.l_suppkey % 50 + 1}.N{r.l_partkey % 650}") for r in lines.where("l_linenumber >= 4").collect()}
     assert late and late <= {(r.file, r[1]) for r in fact(spark, SMALL, "imports").collect()}
+
+
+def test_percentiles_of_skewed_groups(spark, rows):
+    data = [("hot", float(i % 977)) for i in range(5000)] + [("one", 3.0), ("same", 7.0), ("same", 7.0), ("null", None), ("nan", float("nan")), (None, 1.0), (None, 2.0)] + [("wide", v) for v in (-1e9, 0.0, 1e9)]
+    df = spark.createDataFrame(data, "g string, v double")
+    for p in (0.0, 0.5, 0.95, 1.0):
+        want = []
+        for g in {d[0] for d in data}:
+            vs = sorted(v for k, v in data if k == g and v is not None and v == v)
+            if vs:
+                want.append((g, vs[int((len(vs) - 1) * p)]))
+        assert rows(H.lower_percentile(df, ["g"], "v", p)) == sorted(want, key=repr)
+    assert H.lower_percentile(df.limit(0), ["g"], "v", 0.5).count() == 0
