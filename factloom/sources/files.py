@@ -142,6 +142,22 @@ def icons(files: DataFrame) -> DataFrame:
             return "gif", int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
         if data[:4] == b"RIFF" and data[8:16] == b"WEBPVP8X" and len(data) >= 30:
             return "webp", 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
+        if data[:4] == b"RIFF" and data[8:16] == b"WEBPVP8 " and data[23:26] == b"\x9d\x01\x2a" and len(data) >= 30:
+            return "webp", int.from_bytes(data[26:28], "little") & 0x3FFF, int.from_bytes(data[28:30], "little") & 0x3FFF
+        if data[:4] == b"RIFF" and data[8:16] == b"WEBPVP8L" and data[20:21] == b"\x2f" and len(data) >= 25:
+            bits = int.from_bytes(data[21:25], "little")
+            return "webp", 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+        return jpeg(data) if data[:2] == b"\xff\xd8" else (None, None, None)
+
+    def jpeg(data: bytes) -> tuple[str | None, int | None, int | None]:
+        at = 2
+        while at + 9 <= len(data):
+            mark = data[at + 1]
+            if data[at] != 0xFF:
+                break
+            if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+                return "jpeg", int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+            at += 1 if mark == 0xFF else 2 if mark == 1 or 0xD0 <= mark <= 0xD9 else 2 + int.from_bytes(data[at + 2 : at + 4], "big")
         return None, None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +165,9 @@ def icons(files: DataFrame) -> DataFrame:
             found = [header(x or b"") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), *[pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))]], schema=_ICON)
 
-    # Headers are short: no more of a file leaves the scan.
-    return files.select("path", F.substring("content", 1, 64).alias("content")).mapInArrow(run, "path string, format string, width int, height int")
+    # Headers are short: no more of a file leaves the scan, but of JPEG files, whose size may stand behind other data.
+    head = F.substring("content", 1, 64)
+    return files.select("path", F.when(F.substring("content", 1, 2) == F.unhex(F.lit("FFD8")), F.col("content")).otherwise(head).alias("content")).mapInArrow(run, "path string, format string, width int, height int")
 
 
 def jfr_events(texts: DataFrame) -> DataFrame:

@@ -56,6 +56,15 @@ def test_icons_from_headers(spark, rows):
     assert rows(SF.icons(df)) == [("a.png", "png", 48, 32), ("b.gif", "gif", 7, 9), ("c.bin", None, None, None), ("d", None, None, None)]
 
 
+def test_icons_of_jpeg_and_webp(spark, rows):
+    sof = b"\xff\xc0\x00\x11\x08\x00\x20\x00\x30" + b"\x00" * 10
+    jpeg = b"\xff\xd8\xff\xe0\x01\x02" + b"x" * 256 + b"\xff\xc4\x00\x04ab" + sof
+    lossy = b"RIFF\x00\x00\x00\x00WEBPVP8 \x00\x00\x00\x00\x00\x00\x00\x9d\x01\x2a\x30\x00\x20\x40"
+    less = b"RIFF\x00\x00\x00\x00WEBPVP8L\x00\x00\x00\x00\x2f" + ((47 | 31 << 14).to_bytes(4, "little"))
+    df = spark.createDataFrame([("a", jpeg), ("b", jpeg[:100]), ("c", lossy), ("d", less), ("e", b"\xff\xd8"), ("f", b"\xff\xd8\xff\xe0\x00\x00" * 40)], "path string, content binary")
+    assert rows(SF.icons(df)) == [("a", "jpeg", 48, 32), ("b", None, None, None), ("c", "webp", 48, 32), ("d", "webp", 48, 32), ("e", None, None, None), ("f", None, None, None)]
+
+
 def test_traces_and_failures(spark, rows, tmp_path):
     jfr = json.dumps({"events": [{"type": "jdk.ExecutionSample", "startTimeNs": 5, "thread": "main", "frames": [{"class": "A", "method": "m"}]}, {"type": "jdk.GC", "frames": [{"class": "A", "method": "m"}]}, {"frames": []}]})
     assert [(r.timestamp_ns, r.frames, r.role) for r in SF.jfr_events(texts(spark, jfr, "no json")).collect()] == [(5, ["A.m"], "main")]
