@@ -38,8 +38,10 @@ from factloom.scratch import delete
 LOG = "part int, seq bigint, key string, version string, arrived_us bigint, record_id bigint, bucket int"
 STATE = "bucket int, key string, version string, arrived_us bigint, record_id bigint, part int, seq bigint"
 CHANGE = "batch_id bigint, run_id int, key string, version string, arrived_us bigint, record_id bigint, part int, seq bigint"
-#: Successful runs that one pass over the log captures, and runs planned at once.
+#: Successful runs that one pass over the log captures.
 RUNS = 16
+#: Runs that are planned by one scan of arrival times.
+PLANNED = 64
 
 
 @dataclass(frozen=True)
@@ -160,13 +162,13 @@ class ChangeCapture:
 
         A run that is not ``ok`` (without the argument all are) plans its batch
         too but never commits it; the next run that is takes it over. Runs
-        without id or start are none. The runs are control rows, RUNS of which
+        without id or start are none. The runs are control rows, PLANNED of which
         are planned at a time.
         """
         known = runs.where(F.col(started).isNotNull() & F.col(run).isNotNull()).select(F.col(run).cast("int").alias("run_id"), F.unix_micros(F.col(started).cast("timestamp")).alias("at"), (F.lit(True) if ok is None else F.coalesce(ok, F.lit(False))).alias("counts"))
         starts = [tuple(r) for r in known.groupBy("run_id").agg(F.min("at").alias("at"), F.max("counts").alias("counts")).orderBy("at", "run_id").collect()]
-        for i in range(0, len(starts), RUNS):
-            self._plan(starts[i : i + RUNS])
+        for i in range(0, len(starts), PLANNED):
+            self._plan(starts[i : i + PLANNED])
 
     def _plan(self, starts: list[tuple[int, int, bool]]) -> int:
         before, end = self.plans(), self.ends()

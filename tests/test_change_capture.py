@@ -44,6 +44,7 @@ RUNS = "run_id int, started_at timestamp, status string"
 @pytest.mark.parametrize("at_once", [1, 2, 16])
 def test_runs_see_each_change_once(spark, capture, rows, monkeypatch, at_once):
     monkeypatch.setattr(C, "RUNS", at_once)
+    monkeypatch.setattr(C, "PLANNED", at_once)
     entries = log(spark, [(1, 1, "a", "H1"), (2, 2, "b", "h2"), (3, 11, "a", "h1"), (4, 12, "b", "h3"), (4, 12, "b", "h3"), (5, 13, "b", "h2"), (6, 21, "c", ""), (7, 21, "c", None), (8, 10, "d", "at"), (9, None, "e", "x"), (10, 1, None, "x"), (11, 99, "f", "late")])
     runs = spark.createDataFrame([(1, at(10), "ok"), (2, at(15), "failed"), (3, at(20), "ok"), (4, at(30), "ok"), (5, at(40), None), (6, None, "ok"), (None, at(3), "ok")], RUNS)
     capture.ingest(entries, columns())
