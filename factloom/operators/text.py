@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.scalars import DECISION, secret_kind
+from factloom.functions.scalars import DECISION, accessor_to_path, secret_kind
 
 #: One declaration: modifiers, what it is, its name.
 DECLARATION = r"(?m)^[ \t]*((?:(?:public|private|internal|protected|open|abstract|sealed|data|override|suspend|inline|static|final)[ \t]+)*)(class|interface|object|enum|fun|val|var)[ \t]+(?:class[ \t]+)?(\w+)"
@@ -21,6 +21,8 @@ IMPORT = r"(?m)^[ \t]*import[ \t]+([\w.]+(?:\.\*)?)"
 PACKAGE = r"(?m)^[ \t]*package[ \t]+([\w.]+)"
 #: A dependency on a project of the same build: configuration and path.
 PROJECT = r'(\w+)\s*\(\s*project\(\s*"(:[^"]+)"\s*\)\s*\)'
+#: The same by an accessor below ``projects``.
+ACCESSOR = r"(\w+)\s*\(\s*projects\.(\w+(?:\.\w+)*)\s*\)"
 #: A dependency on a library: configuration, group, name, version.
 LIBRARY = r'(\w+)\s*\(\s*"([^":]+):([^":]+):([^":]+)"\s*\)'
 COMMENT_LINE = r"^\s*(//|\*|/\*)"
@@ -85,6 +87,14 @@ def project_dependencies(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.inline(F.arrays_zip(conf.alias("configuration"), path.alias("path"))))
 
 
+def accessor_dependencies(docs: DataFrame) -> DataFrame:
+    """(doc_id, configuration, path) of dependencies by typesafe accessors, each dotted part a part of the path."""
+    conf, accessor = (F.regexp_extract_all("text", F.lit(ACCESSOR), F.lit(i)) for i in (1, 2))
+    rows = docs.select("doc_id", F.inline(F.arrays_zip(conf.alias("configuration"), accessor.alias("accessor"))))
+    parts = F.transform(F.split("accessor", "\\."), lambda part: accessor_to_path(part))
+    return rows.select("doc_id", "configuration", F.array_join(parts, "").alias("path"))
+
+
 def library_dependencies(docs: DataFrame) -> DataFrame:
     parts = [F.regexp_extract_all("text", F.lit(LIBRARY), F.lit(i)).alias(n) for i, n in enumerate(("configuration", "group", "name", "version"), 1)]
     return docs.select("doc_id", F.inline(F.arrays_zip(*parts)))

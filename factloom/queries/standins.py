@@ -100,6 +100,7 @@ FACTS = {
           CASE WHEN p_partkey % 2 = 0 THEN '<layout>' ELSE 'include(":a' || p_size || '", "b:c' || p_partkey || '")' END,
           'project(":a' || p_size || '").projectDir = file("x/a' || p_size || '")',
           'implementation("g' || p_size || ':n' || p_partkey || ':1.' || p_size || '")',
+          'api(projects.coreUi.n' || p_partkey || 'Kit) testImplementation( projects.app )',
           'val m' || p_size || ' = mockk<T>()', CASE WHEN p_size % 3 = 0 THEN 'verify { m' || p_size || '.run() } // io.mockk' ELSE '' END,
           '<dev.p' || p_size || '.View' || p_partkey || ' text="@string/t' || p_partkey || '" style="@style/s' || p_size || '"/>',
           '<plurals name="q' || p_size || '"><item quantity="one">1</item><item quantity="other"> n' || p_partkey || ' </item></plurals>',

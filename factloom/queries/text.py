@@ -82,6 +82,13 @@ def src16(texts):
     return X.project_dependencies(texts)
 
 
+@query("src16b_accessor_dependencies", "scripts", f"""
+    SELECT doc_id, configuration, array_to_string(list_transform(string_split(accessor, '.'), lambda x: ':' || lower(substr(x, 1, 1) || regexp_replace(substr(x, 2), '(\\p{{Lu}})', '-\\1', 'g'))), '') AS path
+    FROM (SELECT doc_id, unnest({_all('text', X.ACCESSOR, 1)}) AS configuration, unnest({_all('text', X.ACCESSOR, 2)}) AS accessor FROM scripts)""")
+def src16b(scripts):
+    return X.accessor_dependencies(scripts)
+
+
 @query("src13_library_dependencies", "scripts", f"SELECT doc_id, unnest({_all('text', X.LIBRARY, 1)}) AS configuration, unnest({_all('text', X.LIBRARY, 2)}) AS \"group\", unnest({_all('text', X.LIBRARY, 3)}) AS name, unnest({_all('text', X.LIBRARY, 4)}) AS version FROM scripts")
 def src13(scripts):
     return X.library_dependencies(scripts)

@@ -38,6 +38,11 @@ def test_resource_groups(spark, rows):
     assert [(r[0], r[1], r[2]) for r in rows(X.resource_groups(docs), "kind", "name", "items")] == [("array", "e", {}), ("plurals", "p", {"other": "b", "one": "c"}), ("string-array", "s", {"0": "x", "1": "y"}), ("style", "T", {"k": "v"})]
 
 
+def test_accessors_name_projects(spark, rows):
+    docs = texts(spark, "api(projects.coreUi.dataAPI)\nimplementation( projects.app )\napi(projects.)\nfoo(libs.x.y)", None)
+    assert rows(X.accessor_dependencies(docs)) == [(0, "api", ":core-ui:data-a-p-i"), (0, "implementation", ":app")]
+
+
 def test_generic_failures(spark, rows):
     docs = texts(spark, '{"message": "Boom at 0xAF", "module": ":a"}', '[{"failure_kind": "test", "signature": "sig", "source": "ci", "frames": ["a.B"]}, {}]', "  ", "no json", None)
     got = SF.generic_failures(docs, "c1")
