@@ -82,3 +82,20 @@ def test_contraction_keeps_who_reaches_whom():
         name = [graph.nodes[graph.first[c] : graph.first[c + 1]].to_pylist() for c in range(graph.count)]
         got = {(s, d) for c, to in graph.reached(list(range(graph.count))) for t in to for s in name[c] for d in name[t]}
         assert got == brute(known)
+
+
+def test_closure_equals_brute_force(spark, rows, monkeypatch):
+    for name, small in (("_SOURCES", 7), ("_BLOCK", 3), ("_LIST", 5)):
+        monkeypatch.setattr(R, name, small)
+    graphs = list(some_graphs())
+    for edges in (*graphs[:2], graphs[4]):
+        assert rows(G.closure(spark.createDataFrame(edges, "src string, dst string").repartition(3)), "src", "dst") == sorted(brute(edges))
+    assert G.closure(spark.createDataFrame([], "src string, dst string")).count() == 0
+    # Too many edges for one table: by path doubling over what is left.
+    monkeypatch.setattr(R, "FEW", 8)
+    assert rows(G.closure(spark.createDataFrame(graphs[2], "src string, dst string").repartition(3)), "src", "dst") == sorted(brute(graphs[2]))
+
+
+def test_closure_writes_no_pairs(spark, saved):
+    assert G.closure(spark.createDataFrame([(i, (i * k + 1) % 60) for i in range(60) for k in (1, 2, 3)], "src int, dst int")).count() == 3600
+    assert sum(saved) < 900
